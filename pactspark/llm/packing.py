@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,16 +40,14 @@ WINDOW = 4096
 #: What a cut costs, in tokens of padding.
 SENTENCE_CUT, TOKEN_CUT = 4, 24
 BLOCK = 1 << 20
-REMEMBER = 300_000
+REMEMBER = 600_000
 #: Texts that are tokenised at once.
-TEXTS = 128
+TEXTS = 2048
 #: A pre-token of one id that stands between runs when many are encoded at once.
 _MARK = "\x01"
 #: Texts with one of these are encoded whole: the mark; what one library takes for white space and
 #: the other doesn't; a letter whose small form depends on its neighbours.
 _ODD = re.compile("[\x01\x1c-\x1f\u03a3]")
-#: Single stops after a word are pre-tokens of their own; a space before them changes no id and makes runs repeat more.
-_STOP = re.compile(r"(?<=[^\W_])([.,])(?=\s)")
 
 
 class Tokens:
@@ -59,11 +58,12 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.end = np.array([end], "<u4").tobytes()
+        self.end = np.uint32(end)
         self.remember = remember
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         (self.mark,) = self._whole(_MARK)
+        self.single = {c: self._whole(c).tobytes() for c in ".,"}
         names = self.tokenizer.get_vocab()
         self.stops = np.zeros(max(names.values()) + 1, bool)
         for name, i in names.items():
@@ -73,30 +73,54 @@ class Tokens:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn(self, runs: set[str]) -> None:
+    def _look_up(self, runs: list[str]) -> list[bytes]:
+        """Ids of distinct runs."""
         if len(self.known) > self.remember:
             self.known, self.older = {}, self.known
-        known, older, new = self.known, self.older, []
+        known, older, new, stopped = self.known, self.older, [], []
         for run in runs:
-            if run not in known:
-                if run in older:
-                    known[run] = older[run]
-                else:
-                    new.append(run)
+            if run in known:
+                continue
+            if run in older:
+                known[run] = older[run]
+            elif run[-1:] in self.single and run[-2:-1].isalnum():
+                # One stop after a word is a pre-token of its own.
+                stopped.append(run)
+                if (word := run[:-1]) not in known:
+                    if word in older:
+                        known[word] = older[word]
+                    else:
+                        new.append(word)
+            else:
+                new.append(run)
         if new:
+            new = [*dict.fromkeys(new)]
             ids = self._whole(f" {_MARK} ".join(new))
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
             raw, at = ids.tobytes(), 0
             for run, end in zip(new, (4 * ends).tolist(), strict=True):
                 known[run] = raw[at:end]
                 at = end + 4
+        for run in stopped:
+            known[run] = known[run[:-1]] + self.single[run[-1]]
+        return [known[run] for run in runs]
 
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text with the end id."""
-        split = [None if _ODD.search(t or "") else _STOP.sub(r" \1", (t or "").lower()).split() for t in texts]
-        self._learn({run for runs in split if runs for run in runs})
-        known = self.known
-        return [np.frombuffer((self._whole(t).tobytes() if runs is None else b"".join([known[r] for r in runs])) + self.end, "<u4") for t, runs in zip(texts, split)]
+        """Ids of each text with the end id. Distinct runs are found and put in place column-wise."""
+        plain = [not _ODD.search(t or "") for t in texts]
+        split = pc.ascii_split_whitespace(pa.array([(t or "").lower() if ok else "" for t, ok in zip(texts, plain)], pa.large_string()))
+        coded = split.flatten().dictionary_encode()
+        raw = self._look_up(coded.dictionary.to_pylist())
+        every = np.frombuffer(b"".join(raw), "<u4")
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        start = np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        sizes = size[which]
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        ids = every[np.repeat(start[which] - ends[:-1], sizes) + np.arange(ends[-1])]
+        offsets = split.offsets.to_numpy()
+        bounds = ends[offsets - offsets[0]].tolist()
+        return [np.append(ids[a:b] if ok else self._whole(t), self.end) for t, ok, a, b in zip(texts, plain, bounds, bounds[1:])]
 
 
 _TOKENS: dict[str, Tokens] = {}
