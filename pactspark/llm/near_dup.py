@@ -8,9 +8,10 @@ bands make the candidates: at a similarity of 0.8 a pair misses all of them with
 probability below 1e-6.
 
 Candidates are not all pairs of a bucket. Round one verifies every member against
-the bucket's least id (a star, linear in the bucket's size). Round two is for members
-that are no near copy of that leader: they meet the bucket's other members with which
-they aren't connected yet. Verification is a banded alignment of the words: a pair is
+the bucket's least id (a star, linear in the bucket's size), the least of its leaders
+first, then those with which it isn't connected by then. Round two is for members that
+stay apart from a leader: they meet the bucket's other members with which they aren't
+connected either. Verification is a banded alignment of the words: a pair is
 linked if edit distance <= 0.2 x the longer length. Connected links are classes.
 
 Exact copies are grouped by digest first; one text per digest enters all that.
@@ -241,6 +242,12 @@ def components(edges: DataFrame) -> DataFrame:
         mark = new
 
 
+def _labelled(df: DataFrame, column: str, label: DataFrame) -> DataFrame:
+    """Add ``<column>_label``: the label of a node, itself where it has none."""
+    named = label.select(F.col("node").alias(column), F.col("label").alias(f"{column}_label"))
+    return df.join(named, column, "left").withColumn(f"{column}_label", F.coalesce(f"{column}_label", column))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least id of its class): one row for each id of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -256,19 +263,38 @@ def classes(docs: DataFrame) -> DataFrame:
     )
     leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader")
     stars = materialise(buckets.join(leaders, "key").where("node != leader").select("key", "leader", "node", "n_words"), "near-stars")
-    first = materialise(verify(stars.selectExpr("leader AS a", "node AS b").distinct(), known), "near-links")
-    links = first.where("linked").select("a", "b")
-    failed = first.where("NOT linked").selectExpr("a AS leader", "b AS node")
-    apart = stars.join(failed, ["leader", "node"]).select("key", "node", "n_words")
-    if not failed.isEmpty():
-        label = components(links)
-        named = lambda df: df.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        one, other = named(apart), named(stars.select("key", "node", "n_words")).selectExpr("key", "node AS other", "n_words AS other_words", "label AS other_label")
+
+    label = None  # (node, label) of what is connected so far
+
+    def connected(pairs: DataFrame) -> DataFrame:
+        """Verify pairs and join what they link; returns the pairs with the outcome."""
+        nonlocal label
+        outcome = materialise(verify(materialise(pairs, "near-pairs"), known), "near-outcome")
+        links = outcome.where("linked").select("a", "b")
+        if label is None:
+            label = components(links)
+            return outcome
+        top = components(_labelled(_labelled(links, "a", label).drop("a"), "b", label).selectExpr("a_label AS a", "b_label AS b"))
+        moved = top.withColumnRenamed("label", "above").withColumnRenamed("node", "label")
+        old = label.join(moved, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+        label = materialise(old.unionByName(top.join(label.select("node"), "node", "left_anti")), "near-labels")
+        return outcome
+
+    # Round one: every member against the least of its leaders, and then against those it isn't connected with yet.
+    pairs = stars.selectExpr("leader AS a", "node AS b").distinct()
+    outcome = connected(stars.groupBy("node").agg(F.min("leader").alias("leader")).selectExpr("leader AS a", "node AS b"))
+    rest = _labelled(_labelled(pairs.join(outcome.select("a", "b"), ["a", "b"], "left_anti"), "a", label), "b", label)
+    outcome = outcome.unionByName(connected(rest.where("a_label != b_label").select("a", "b")))
+    # Round two: members that no alignment or chain connects with a leader meet the rest of its bucket.
+    apart = _labelled(_labelled(stars.withColumnRenamed("leader", "a").withColumnRenamed("node", "b"), "a", label), "b", label).where("a_label != b_label")
+    apart = apart.select("key", F.col("b").alias("node"), "n_words", F.col("b_label").alias("label"))
+    if not apart.isEmpty():
+        hot = stars.join(apart.select("key").distinct(), "key", "left_semi")
+        other = _labelled(hot.withColumnRenamed("node", "b"), "b", label).select("key", F.col("b").alias("other"), F.col("n_words").alias("other_words"), F.col("b_label").alias("other_label"))
         long, short = F.greatest("n_words", "other_words"), F.least("n_words", "other_words")
         fits = (F.col("label") != F.col("other_label")) & (short >= long * SIMILARITY)
-        pairs = one.join(other, "key").where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        links = links.unionByName(verify(materialise(pairs, "near-pairs"), known).where("linked").select("a", "b"))
-    label = components(links)
+        pairs = apart.join(other, "key").where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+        connected(pairs.join(outcome.select("a", "b"), ["a", "b"], "left_anti"))
     found = member.join(label, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))
     return found.unionByName(docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id")))
 
