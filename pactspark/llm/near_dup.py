@@ -12,7 +12,8 @@ the bucket's least id (a star, linear in the bucket's size), the least of its le
 first, then those with which it isn't connected by then. Round two is for members that
 stay apart from a leader: they meet the bucket's other members with which they aren't
 connected either. Verification is a banded alignment of the words: a pair is
-linked if edit distance <= 0.2 x the longer length. Connected links are classes.
+linked if edit distance <= 0.2 x the longer length, both without the words of k-mers
+that occurred twice before. Connected links are classes.
 
 Exact copies are grouped by digest first; one text per digest enters all that.
 
@@ -36,6 +37,8 @@ from pactspark.llm.common import DOCUMENT_COLUMNS, materialise, table
 K = 5
 SIMILARITY = 0.8
 TAKE, ROWS, BANDS = 2, 3, 48
+#: Further occurrences of a k-mer don't count.
+REPEATS = 2
 SKETCHES = ROWS * BANDS
 #: Up to so many ids (16 bytes each) are broadcast to pick texts from a scan; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -68,21 +71,38 @@ class _Words:
         return np.array([known[w] for w in words], np.uint64)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """The band keys (signed 64 bits) of a text whose words have these hashes; none without words."""
-    n = len(hashes)
-    if not n:
-        return np.empty(0, np.int64)
-    k = min(K, n)
-    mers = np.zeros(n - k + 1, np.uint64)
+def _mers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-mers of words, and how often each occurred before."""
+    k = min(K, len(hashes))
+    mers = np.zeros(len(hashes) - k + 1, np.uint64)
     for i in range(k):
-        mers = _mixed(mers * _MIX + hashes[i : n - k + 1 + i])
+        mers = _mixed(mers * _MIX + hashes[i : len(mers) + i])
     order = np.argsort(mers, kind="stable")
     first = np.concatenate(([True], mers[order][1:] != mers[order][:-1]))
     at = np.arange(len(mers))
-    occurrence = np.empty(len(mers), np.uint64)
+    occurrence = np.empty(len(mers), np.int64)
     occurrence[order] = at - np.maximum.accumulate(np.where(first, at, 0))
-    labelled = _mixed(mers + occurrence * _MIX)
+    return mers, occurrence
+
+
+def condensed(words: np.ndarray) -> np.ndarray:
+    """Words without those where a k-mer starts that occurred ``REPEATS`` times before.
+
+    Else texts that repeat one phrase hundreds of times would be alike whatever else they say.
+    """
+    if len(words) <= K:
+        return words
+    _, occurrence = _mers(words)
+    again = occurrence >= REPEATS
+    return words[~np.concatenate((again, np.zeros(K - 1, bool)))] if again.any() else words
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """The band keys (signed 64 bits) of a text whose words have these hashes; none without words."""
+    if not len(hashes):
+        return np.empty(0, np.int64)
+    mers, occurrence = _mers(condensed(hashes))
+    labelled = _mixed(mers + occurrence.astype(np.uint64) * _MIX)
     sketches = np.empty(SKETCHES, np.uint64)
     step = max(1, (1 << 21) // len(mers))
     for s in range(0, SKETCHES, step):
@@ -180,8 +200,8 @@ def near(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     if not x or not y:
         return False
     number: dict[str, int] = {}
-    u, v = (np.array([number.setdefault(w, len(number)) for w in z], np.int64) for z in (x, y))
-    limit = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
+    u, v = (condensed(np.array([number.setdefault(w, len(number)) for w in z], np.uint64)).astype(np.int64) for z in (x, y))
+    limit = int((1 - similarity) * max(len(u), len(v)) + 1e-9)
     return edit_distance(u, v, limit) <= limit
 
 
@@ -197,7 +217,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 text = text.as_py() or ""
                 hashes = words.hashes(text.lower().split())
                 digests.append(xxhash.xxh3_128_digest(text.encode()))
-                counts.append(len(hashes))
+                counts.append(len(condensed(hashes)))
                 bands.append(band_keys(hashes))
             made = [pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], schema=schema)
