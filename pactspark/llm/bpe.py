@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pactspark.llm.common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-REMEMBER = 300_000
+REMEMBER = 600_000
 
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: Cuts a text where no match of the pattern goes across: a space opens the run that follows it.
@@ -94,28 +94,34 @@ class Codec:
         self.older: dict[str, tuple[bytes, bytes]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Merge a pre-token's bytes: heap over linked nodes."""
-        n, ranks = len(piece), self.ranks
-        part = [piece[i : i + 1] for i in range(n)]
-        after = [*range(1, n), -1]
-        before = [*range(-1, n - 1)]
-        heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        """Merge a pre-token's bytes: a heap over linked nodes.
+
+        A node is named by its first byte; ``end`` links to the next node (0: merged
+        away), ``before`` to the one in front. An entry (rank, node, end of the pair) is
+        stale unless the node and the next one still make up that pair.
+        """
+        n, get = len(piece), self.ranks.get
+        end = [*range(1, n + 1), 0]
+        before = [*range(-1, n)]
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
         heapq.heapify(heap)
+        pop, push = heapq.heappop, heapq.heappush
         while heap:
-            rank, i, size = heapq.heappop(heap)
-            j = after[i]
-            if not part[i] or j < 0 or len(part[i]) + len(part[j]) != size or ranks.get(part[i] + part[j]) != rank:
-                continue  # one of the two has merged since
-            part[i] += part[j]
-            part[j] = b""
-            k = after[i] = after[j]
-            if k >= 0:
-                before[k] = i
-                if (r := ranks.get(both := part[i] + part[k])) is not None:
-                    heapq.heappush(heap, (r, i, len(both)))
-            if (h := before[i]) >= 0 and (r := ranks.get(both := part[h] + part[i])) is not None:
-                heapq.heappush(heap, (r, h, len(both)))
-        return [ranks[p] for p in part if p]
+            _, i, e = pop(heap)
+            m = end[i]
+            if not m or end[m] != e:
+                continue
+            end[i], end[m] = e, 0
+            before[e] = i
+            if e < n and (r := get(piece[i : end[e]])) is not None:
+                push(heap, (r, i, end[e]))
+            if i and (r := get(piece[before[i] : e])) is not None:
+                push(heap, (r, before[i], e))
+        out, i = [], 0
+        while i < n:
+            out.append(get(piece[i : end[i]]))
+            i = end[i]
+        return out
 
     def encode_piece(self, piece: str) -> list[int]:
         raw = piece.encode("utf-8")
@@ -125,13 +131,9 @@ class Codec:
     def encode_run(self, run: str) -> list[int]:
         return [i for piece in self.pattern.findall(run) for i in self.encode_piece(piece)]
 
-    def _look_up(self, runs: list[str]) -> None:
-        if len(self.known) > self.remember:
-            self.known, self.older = {}, self.known
+    def _learn(self, runs: set[str]) -> None:
         known, older = self.known, self.older
-        for run in {*runs}:
-            if run in known:
-                continue
+        for run in runs:
             if run in older:
                 known[run] = older[run]
                 continue
@@ -140,9 +142,14 @@ class Codec:
 
     def encode(self, text: str | None) -> tuple[np.ndarray, bytes]:
         """Ids as an array, and in decimal with a comma after each."""
+        if len(self.known) > self.remember:
+            self.known, self.older = {}, self.known
         runs = RUNS.findall(text) if text else []
-        self._look_up(runs)
-        found = [self.known[r] for r in runs]
+        get = self.known.get
+        found = [*map(get, runs)]
+        if None in found:
+            self._learn({r for r, x in zip(runs, found) if x is None})
+            found = [*map(get, runs)]
         return np.frombuffer(b"".join([a for a, _ in found]), "<u4"), b"".join([b for _, b in found])
 
     def decode(self, ids: np.ndarray) -> bytes:
