@@ -481,14 +481,12 @@ _NUMBER_SQL = (
     "coalesce(TRY_CAST(nullif(regexp_extract(body, '\\(\\s*(\\d+)\\s*\\)', 1), '') AS INT), TRY_CAST(nullif(replace(regexp_extract(body, '^\\s*(\\d[\\d,]*)', 1), ',', ''), '') AS INT), "
     "CASE WHEN regexp_matches(body, '(?i)twenty-five') THEN 25 END, CASE WHEN regexp_matches(body, '(?i)\\bsixty\\b') THEN 60 END)"
 )
-_b, _h = F.col("body"), F.col("heading")
-
 #: key: columns as name: (Spark, DuckDB), over the view ``lines``.
 SCALARS = {
     "token_count": {"tokens": (T.token_count, _TOKENS)},
-    "heading_number": {"number": (lambda b: T.heading_number(_h), f"nullif(regexp_extract(trim(heading), '{T.HEADING_NUMBER}', 1), '')")},
-    "is_missed_heading": {"missed": (lambda b: T.is_missed_heading(_h), "heading NOT IN ('RECITALS', '2. the parties shall agree')")},
-    "is_title_like": {"title": (lambda b: T.is_title_like(_h), "heading <> '2. the parties shall agree'")},
+    "heading_number": {"number": (lambda b: T.heading_number(F.col("heading")), f"nullif(regexp_extract(trim(heading), '{T.HEADING_NUMBER}', 1), '')")},
+    "is_missed_heading": {"missed": (lambda b: T.is_missed_heading(F.col("heading")), "heading NOT IN ('RECITALS', '2. the parties shall agree')")},
+    "is_title_like": {"title": (lambda b: T.is_title_like(F.col("heading")), "heading <> '2. the parties shall agree'")},
     "strip_page_tail": {"body": (lambda b: F.regexp_replace(b, T.PAGE_TAIL, ""), "regexp_replace(body, '\\s*Page\\s+\\d+\\s+of\\s+\\d+\\s*$', '')")},
     "primary_modal": {"modal": (T.primary_modal, _MODAL_SQL)},
     "obligation_subtype": {
@@ -498,13 +496,13 @@ SCALARS = {
         )
     },
     "first_action_verb": {"verb": (T.first_action_verb, f"list_filter(list_slice(regexp_extract_all(lower(body), '[a-z]+'), 1, 30), lambda w: w IN ({_VERBS}))[1]")},
-    "is_signature_block": {"signature": (lambda b: T.is_signature_block(_h, b), "body LIKE 'By: Name%'")},
+    "is_signature_block": {"signature": (lambda b: T.is_signature_block(F.col("heading"), b), "body LIKE 'By: Name%'")},
     "signature_rule2": {"signature": (lambda b: T.signature_rule2(b, T.token_count(b)), f"body LIKE 'By: Name%' OR ({_TOKENS} <= 20 AND NOT regexp_matches(lower(body), '{T.LEGAL_VERBS}'))")},
-    "is_preamble": {"preamble": (lambda b: T.is_preamble(_h, b, T.token_count(b)), "heading = 'RECITALS' OR body LIKE 'WHEREAS%'")},
+    "is_preamble": {"preamble": (lambda b: T.is_preamble(F.col("heading"), b, T.token_count(b)), "heading = 'RECITALS' OR body LIKE 'WHEREAS%'")},
     "renewal_signal": {"renewal": (T.renewal_signal, f"regexp_matches(lower(body), '{T.RENEWAL}')")},
     "estimate_modality": {"modality": (T.estimate_modality, f"CASE WHEN regexp_matches(lower(body), '{T.MODALITY_PROHIBITION}') THEN 'PROHIBITION' WHEN regexp_matches(lower(body), '{T.MODALITY_PERMISSION}') THEN 'PERMISSION' WHEN regexp_matches(lower(body), '{T.MODALITY_OBLIGATION}') THEN 'OBLIGATION' ELSE 'DECLARATIVE' END")},
     "trim_action": {"action": (T.trim_action, f"rtrim(left(body, {_CUT}), ' ,;:.-')")},
-    "format_input": {"input": (lambda b: T.format_input(_h, b), "concat(rtrim(trim(regexp_replace(heading, '^\\d+(\\.\\d+)*\\.?\\s*', '')), '.'), ': ', body)")},
+    "format_input": {"input": (lambda b: T.format_input(F.col("heading"), b), "concat(rtrim(trim(regexp_replace(heading, '^\\d+(\\.\\d+)*\\.?\\s*', '')), '.'), ': ', body)")},
     "parse_definition": {
         "term": (lambda b: T.parse_definition(b, 1), "CASE WHEN body LIKE '\"Net Revenue\"%' THEN 'Net Revenue' WHEN body LIKE 'By: Name%' THEN 'By' ELSE '' END"),
         "definition": (lambda b: T.parse_definition(b, 2), "CASE WHEN body LIKE '\"Net Revenue\"%' THEN 'all amounts received by the Company.' WHEN body LIKE 'By: Name%' THEN 'Name: J. Doe  Title: President' ELSE body END"),
@@ -534,7 +532,7 @@ SCALARS = {
 
 def _scalar(key: str, columns: dict) -> None:
     sql = "SELECT id, " + ", ".join(f"{s} AS {n}" for n, (_, s) in columns.items()) + " FROM lines"
-    query(key, sql)(lambda v: v("lines").select("id", *[f(_b).alias(n) for n, (f, _) in columns.items()]))
+    query(key, sql)(lambda v: v("lines").select("id", *[f(F.col("body")).alias(n) for n, (f, _) in columns.items()]))
 
 
 for _key, _columns in SCALARS.items():
@@ -635,7 +633,7 @@ def _(v):
 
 @query("squad_examples", "SELECT id, field, CASE WHEN field = 'agent' THEN 0 ELSE 16 END AS answer_start FROM (SELECT id, unnest(['agent', 'action']) AS field FROM lines WHERE body LIKE 'The Buyer shall%')")
 def _(v):
-    rows = v("lines").select("id", F.col("body").alias("context"), T.estimate_modality(_b).alias("modality"), F.lit("the buyer").alias("agent"), F.lit("pay invoice").alias("action")).where("context LIKE 'The Buyer shall%'")
+    rows = v("lines").select("id", F.col("body").alias("context"), T.estimate_modality(F.col("body")).alias("modality"), F.lit("the buyer").alias("agent"), F.lit("pay invoice").alias("action")).where("context LIKE 'The Buyer shall%'")
     return C.squad_examples(rows).select("id", "field", "answer_start")
 
 
