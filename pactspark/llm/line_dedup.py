@@ -43,8 +43,8 @@ def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float = RA
 
 
 def drop_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` without boilerplate lines, and ``n_lines`` and ``n_dropped``."""
-    kept = docs.columns
+    """``docs`` without boilerplate lines, and ``n_lines`` and ``n_dropped`` (in place of columns of these names)."""
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     listed = boilerplate(docs, host_col, text_col, ratio, min_pages).select(F.col("host").alias("_host"), F.col("lines").alias("_boilerplate"))
     df = docs.join(listed, F.col(host_col).eqNullSafe(F.col("_host")), "left")
     df = df.withColumn("_lines", F.expr(f"split(`{text_col}`, '\\n', -1)"))

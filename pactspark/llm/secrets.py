@@ -100,8 +100,8 @@ def _class(hit: str) -> str:
     return f"CASE WHEN {hit} RLIKE '^([0-9a-f]+|[0-9A-F]+)$' THEN 3 WHEN {hit} RLIKE '^[A-Z0-9]+$' THEN 4 ELSE 5 END"
 
 
-def find_spans(docs: DataFrame, text_col: str = "text", allow_list: tuple[str, ...] = ALLOW_LIST) -> DataFrame:
-    """Add ``base_spans`` and ``spans``: array<struct<start, kind, end>> ordered by start and kind.
+def find_spans(docs: DataFrame, text_col: str = "text", allow_list: tuple[str, ...] = ALLOW_LIST, base_col: str = "base_spans", spans_col: str = "spans") -> DataFrame:
+    """Add (or replace) ``base_spans`` and ``spans``: array<struct<start, kind, end>> ordered by start and kind.
 
     ``kind`` is a position in ``assign, access, hex, ent_hex, ent_upper, ent_base64``;
     offsets are code points from 0, the end is exclusive. ``spans`` holds the base
@@ -113,22 +113,22 @@ def find_spans(docs: DataFrame, text_col: str = "text", allow_list: tuple[str, .
     allowed = " OR ".join(f"x.hit RLIKE {_quoted(p)}" for p in allow_list) or "false"
     df = docs.withColumn(t, F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumns({
-        "_assign": F.expr(f"filter({_located(t, ASSIGN, 0)}, x -> length(regexp_extract(x.hit, {_quoted(ASSIGN)}, 2)) >= 6)"),
-        "_access": F.expr(_located(t, ACCESS, 1)),
-        "_hex": F.expr(_located(t, HEX, 2)),
-        "_cand": F.expr(f"filter({_located(t, CANDIDATE, 3)}, x -> x.hit RLIKE '[0-9]' AND NOT ({allowed}))"),
+        "_secret_assign": F.expr(f"filter({_located(t, ASSIGN, 0)}, x -> length(regexp_extract(x.hit, {_quoted(ASSIGN)}, 2)) >= 6)"),
+        "_secret_access": F.expr(_located(t, ACCESS, 1)),
+        "_secret_hex": F.expr(_located(t, HEX, 2)),
+        "_secret_cand": F.expr(f"filter({_located(t, CANDIDATE, 3)}, x -> x.hit RLIKE '[0-9]' AND NOT ({allowed}))"),
     })
     df = df.withColumn(
-        "_entropy",
+        "_secret_entropy",
         F.expr(
-            f"filter(transform(_cand, x -> named_struct('x', x, 'w', {_entropy_extent('x.hit')}, 'k', {_class('x.hit')})), z -> z.w.first >= 0)"
+            f"filter(transform(_secret_cand, x -> named_struct('x', x, 'w', {_entropy_extent('x.hit')}, 'k', {_class('x.hit')})), z -> z.w.first >= 0)"
         ),
     )
-    base = f"concat({bare('_assign')}, {bare('_access')}, {bare('_hex')})"
-    more = "transform(_entropy, z -> named_struct('start', z.x.start + z.w.first, 'kind', z.k, 'end', z.x.start + z.w.last))"
-    df = df.withColumn("base_spans", F.expr(f"array_sort(cast({base} as array<{slim}>))"))
-    df = df.withColumn("spans", F.expr(f"array_sort(concat(base_spans, cast({more} as array<{slim}>)))"))
-    return df.drop(t, "_assign", "_access", "_hex", "_cand", "_entropy")
+    base = f"concat({bare('_secret_assign')}, {bare('_secret_access')}, {bare('_secret_hex')})"
+    more = "transform(_secret_entropy, z -> named_struct('start', z.x.start + z.w.first, 'kind', z.k, 'end', z.x.start + z.w.last))"
+    df = df.withColumn(base_col, F.expr(f"array_sort(cast({base} as array<{slim}>))"))
+    df = df.withColumn(spans_col, F.expr(f"array_sort(concat(`{base_col}`, cast({more} as array<{slim}>)))"))
+    return df.drop(t, "_secret_assign", "_secret_access", "_secret_hex", "_secret_cand", "_secret_entropy")
 
 
 def _joined(spans: str) -> Column:
@@ -139,14 +139,14 @@ def _joined(spans: str) -> Column:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
     """Replace every found span (overlapping ones as one) by ``mark``; a null text stays null."""
     kept = docs.columns
-    df = find_spans(docs, text_col)
+    df = find_spans(docs, text_col, base_col="_secret_base", spans_col="_secret_spans")
     t, m = f"`{text_col}`", _quoted(mark)
-    new = f"""CASE WHEN size(spans) = 0 THEN {t} ELSE aggregate(spans, named_struct('at', 0L, 'out', ''),
+    new = f"""CASE WHEN size(_secret_spans) = 0 THEN {t} ELSE aggregate(_secret_spans, named_struct('at', 0L, 'out', ''),
         (acc, s) -> CASE WHEN s.`end` <= acc.at THEN acc ELSE named_struct('at', s.`end`, 'out',
             CASE WHEN s.start < acc.at THEN acc.out
                  ELSE concat(acc.out, substring({t}, cast(acc.at + 1 as int), cast(s.start - acc.at as int)), {m}) END) END,
         acc -> concat(acc.out, substring({t}, cast(acc.at + 1 as int)))) END"""
-    return df.withColumn(text_col, F.expr(new)).select(*kept)
+    return df.withColumn(text_col, F.expr(new)).select(*[f"`{c}`" for c in kept])
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,7 +91,7 @@ class Model:
     rate: float = 1.0
     scale: float = 1.0
     slope: float = 0.0
-    offset: float = -50.0
+    offset: float = -1000.0
 
     def word(self, w: str) -> float:
         if (s := self.features.get(w)) is not None:
