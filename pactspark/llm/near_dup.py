@@ -56,7 +56,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class _Words:
     """Hashes of words, remembered in two generations."""
 
-    def __init__(self, remember: int = 300_000) -> None:
+    def __init__(self, remember: int = 150_000) -> None:
         self.known: dict[str, int] = {}
         self.older: dict[str, int] = {}
         self.remember = remember

@@ -40,9 +40,9 @@ WINDOW = 4096
 #: What a cut costs, in tokens of padding.
 SENTENCE_CUT, TOKEN_CUT = 4, 24
 BLOCK = 1 << 20
-REMEMBER = 600_000
+REMEMBER = 400_000
 #: Texts that are tokenised at once.
-TEXTS = 2048
+TEXTS = 1024
 #: A pre-token of one id that stands between runs when many are encoded at once.
 _MARK = "\x01"
 #: Texts with one of these are encoded whole: the mark; what one library takes for white space and

@@ -126,7 +126,7 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def _remembered(known: dict[str, float], most: int = 500_000) -> dict[str, float]:
+def _remembered(known: dict[str, float], most: int = 100_000) -> dict[str, float]:
     if len(known) > most:
         known.clear()
     return known
