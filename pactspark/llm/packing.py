@@ -3,8 +3,8 @@
 Each task tokenises its documents in order into one stream of ids and cuts it into
 windows of at most ``WINDOW`` tokens. A dynamic programme over the allowed cuts (ends
 of documents and of sentences; where a sentence is longer than a window, fixed steps
-inside it) finds the cuts of least cost: ``WINDOW - length`` for each window as
-padding, plus ``DOCUMENT_CUT`` or ``SENTENCE_CUT`` where a cut splits a document.
+inside it) finds the cuts of least cost: ``WINDOW - length`` for each window but the
+last as padding, plus ``DOCUMENT_CUT`` or ``SENTENCE_CUT`` where a cut splits a document.
 ``cost[j] = min(cost[i] + position[i]) + WINDOW - position[j] + penalty[j]`` over the
 cuts ``i`` within a window of ``j``: the minimum slides, so a monotone queue gives
 every transition in amortised constant time.
@@ -133,7 +133,7 @@ def tokens(path: str) -> Tokens:
 
 
 def choose_cuts(position: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Cheapest path of cuts from 0 to the last position.
+    """Cheapest path of cuts from 0 to the last position; the last window's padding is free.
 
     ``position`` ascends from above 0; no gap exceeds ``window``. Returns the chosen
     positions, the last one included.
@@ -151,7 +151,10 @@ def choose_cuts(position: np.ndarray, penalty: np.ndarray, window: int = WINDOW)
         while queue and queue[-1][0] > key:
             queue.pop()
         queue.append((key, j))
-    cuts, j = [], len(where) - 1
+    # The last window isn't padded: it goes on in the next block or ends in powers of two.
+    j = len(where) - 1
+    back[j] = min((i for i in range(j) if where[i] >= where[j] - window), key=lambda i: (cost[i], i), default=0)
+    cuts = []
     while j:
         cuts.append(where[j])
         j = back[j]
@@ -160,7 +163,7 @@ def choose_cuts(position: np.ndarray, penalty: np.ndarray, window: int = WINDOW)
 
 def powers(n: int, window: int = WINDOW) -> list[int]:
     """Lengths of the windows that the last n tokens go to: one padded window if that wastes little, else powers of two."""
-    if n * 10 >= window * 9 or n == 0:
+    if n * 50 >= window * 49 or n == 0:
         return [n] * (n > 0)
     return [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
 
