@@ -29,7 +29,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from pactspark.llm.common import table
+from pactspark.llm.common import own_worker, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 REMEMBER = 600_000
@@ -170,6 +170,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array<int>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("bpe", _CODECS.clear)
         own = codec(path)
         for batch in batches:
             ids, counts, sums, backs, lists = batch.column("doc_id").to_pylist(), [], [], [], []
@@ -194,6 +195,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text from doc_id, ids (null ids: null text; bytes that aren't UTF-8 become U+FFFD)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("bpe", _CODECS.clear)
         own = codec(path)
         for batch in batches:
             made = [None if x is None else own.decode(np.array(x, "<u4")).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]

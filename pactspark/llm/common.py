@@ -53,3 +53,27 @@ def split_remainder(doc_id: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """True where the id's remainder is 1; a null id counts as held out (it can't be assigned)."""
     return F.coalesce(split_remainder(doc_id) == 1, F.lit(True))
+
+
+_IN_WORKER: dict[str, object] = {"owner": None, "forget": None}
+
+
+def own_worker(owner: str, forget=None) -> None:
+    """Call first in a Python task: one operator's memory at a time in a worker.
+
+    Workers outlive their tasks and serve all operators in turn. What another operator
+    remembers is dropped (its ``forget``), and free memory goes back to the system.
+    """
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    if _IN_WORKER["owner"] not in (None, owner) and _IN_WORKER["forget"]:
+        _IN_WORKER["forget"]()
+    _IN_WORKER.update(owner=owner, forget=forget)
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

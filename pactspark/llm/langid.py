@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactspark.llm.common import held_out, table
+from pactspark.llm.common import held_out, own_worker, table
 
 DIMENSIONS = 1024
 SEED = 20240613
@@ -104,6 +104,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     """Unit prototypes by language, from all rows with text and language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("langid", _LETTERS.clear)
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs, texts = batch.column(1).to_pylist(), batch.column(0).to_pylist()
@@ -128,6 +129,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     matrix = np.array([prototypes[k] for k in names], np.float32).T if names else np.zeros((DIMENSIONS, 0), np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("langid", _LETTERS.clear)
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             lang, score = ["und"] * len(texts), [0.0] * len(texts)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from pactspark.llm.common import table
+from pactspark.llm.common import own_worker, table
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -160,6 +160,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, png: each text's payload as a PNG of 64 pixels a line in a binary column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("media")
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for i in range(0, len(ids), 512):
@@ -174,6 +175,7 @@ def read_features(stored: DataFrame) -> DataFrame:
     """Read every stored image back and compute its digests and hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("media")
         for batch in batches:
             rows = []
             for doc_id, n, png in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("png")):
@@ -202,6 +204,7 @@ def hash_images(images: DataFrame, id_col: str, png_col: str) -> DataFrame:
             return None, None, None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("media")
         for batch in batches:
             rows = [one(x.as_py()) for x in batch.column("_png")]
             columns = zip(*rows) if rows else [[]] * 3

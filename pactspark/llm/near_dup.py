@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactspark.llm.common import DOCUMENT_COLUMNS, materialise, table
+from pactspark.llm.common import DOCUMENT_COLUMNS, materialise, own_worker, table
 
 K = 5
 SIMILARITY = 0.8
@@ -211,6 +211,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     words = _Words()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("near_dup")
         for batch in batches:
             digests, counts, bands = [], [], []
             for text in batch.column("text"):
@@ -235,6 +236,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("near_dup")
         for batch in batches:
             linked = [near(x.as_py() or "", y.as_py() or "") for x, y in zip(batch.column("left"), batch.column("right"))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])

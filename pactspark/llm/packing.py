@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from pactspark.llm.common import table
+from pactspark.llm.common import own_worker, table
 
 TOKENIZER = "word_bpe_49k.json"
 END = 2
@@ -231,6 +231,7 @@ def pack(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("packing", _TOKENS.clear)
         own = tokens(path)
 
         def stream() -> Iterator[tuple[int | None, np.ndarray]]:

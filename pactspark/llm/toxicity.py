@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactspark.llm.common import DOCUMENT_COLUMNS, held_out, table
+from pactspark.llm.common import DOCUMENT_COLUMNS, held_out, own_worker, table
 
 #: At most so many labelled rows train a model, the first by hash of the id.
 TRAIN_ROWS = 12_000
@@ -136,6 +136,7 @@ def _words(rows: DataFrame) -> DataFrame:
     """(toxic, words) of (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("toxicity")
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -195,6 +196,7 @@ def _score_rows(rows: DataFrame, model: Model) -> DataFrame:
     known: dict[str, float] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("toxicity")
         for batch in batches:
             n, best = [], []
             for text in batch.column("text"):
@@ -234,6 +236,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     passage = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("expected", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("toxicity")
         for batch in batches:
             scores, passages = [], []
             for text in batch.column("text"):
@@ -269,6 +272,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     known: dict[str, float] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("toxicity")
         for batch in batches:
             keep = []
             for text in batch.column("text"):
