@@ -159,6 +159,10 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
+def _forget() -> None:
+    _CODECS.clear()
+
+
 def codec(path: str) -> Codec:
     """One codec for each path and worker."""
     if path not in _CODECS:
@@ -170,7 +174,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array<int>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_worker("bpe", _CODECS.clear)
+        own_worker("bpe", _forget)
         own = codec(path)
         for batch in batches:
             ids, counts, sums, backs, lists = batch.column("doc_id").to_pylist(), [], [], [], []
@@ -195,7 +199,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text from doc_id, ids (null ids: null text; bytes that aren't UTF-8 become U+FFFD)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_worker("bpe", _CODECS.clear)
+        own_worker("bpe", _forget)
         own = codec(path)
         for batch in batches:
             made = [None if x is None else own.decode(np.array(x, "<u4")).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]

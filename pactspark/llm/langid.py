@@ -65,6 +65,10 @@ class _Letters:
 _LETTERS: list[_Letters] = []
 
 
+def _forget() -> None:
+    _LETTERS.clear()
+
+
 def _letters() -> _Letters:
     if not _LETTERS:
         _LETTERS.append(_Letters())
@@ -104,7 +108,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
     """Unit prototypes by language, from all rows with text and language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_worker("langid", _LETTERS.clear)
+        own_worker("langid", _forget)
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs, texts = batch.column(1).to_pylist(), batch.column(0).to_pylist()
@@ -129,7 +133,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     matrix = np.array([prototypes[k] for k in names], np.float32).T if names else np.zeros((DIMENSIONS, 0), np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_worker("langid", _LETTERS.clear)
+        own_worker("langid", _forget)
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             lang, score = ["und"] * len(texts), [0.0] * len(texts)

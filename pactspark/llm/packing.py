@@ -126,6 +126,10 @@ class Tokens:
 _TOKENS: dict[str, Tokens] = {}
 
 
+def _forget() -> None:
+    _TOKENS.clear()
+
+
 def tokens(path: str) -> Tokens:
     if path not in _TOKENS:
         _TOKENS[path] = Tokens(path)
@@ -231,7 +235,7 @@ def pack(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_worker("packing", _TOKENS.clear)
+        own_worker("packing", _forget)
         own = tokens(path)
 
         def stream() -> Iterator[tuple[int | None, np.ndarray]]:
