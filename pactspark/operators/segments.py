@@ -92,3 +92,40 @@ def associate(obligations: DataFrame, deadlines: DataFrame, most: int = 350) ->
     near = obligations.join(deadlines, "clause_id").withColumn("distance", F.abs(F.col("pos") - F.col("at"))).where(F.col("distance") <= most)
     best = near.groupBy("clause_id", "ord").agg(F.min_by("raw", F.struct("distance", "pos")).alias("raw"))
     return obligations.join(best, ["clause_id", "ord"], "left")
+
+
+def alias_antecedent(triggers: DataFrame, entities: DataFrame, within: int = 200) -> DataFrame:
+    """Triggers (doc_id, pos) with the entity (doc_id, start, end, name) that ends last before each.
+
+    It ends ``within`` characters before the trigger at most, with no other trigger between.
+    Of entities with one end the first to start wins. Positions are integers; one
+    exchange by document and no pairs: the nearest entity is the only one that can pass.
+    """
+    events = triggers.select("doc_id", "pos", F.lit(None).cast("struct<end: bigint, back: bigint, name: string>").alias("entity")).unionByName(
+        entities.select("doc_id", F.col("end").alias("pos"), F.struct(F.col("end").cast("long").alias("end"), (-F.col("start")).cast("long").alias("back"), "name").alias("entity"))
+    )
+    order = W.partitionBy("doc_id").orderBy("pos")
+    nearest = F.max("entity").over(order.rangeBetween(W.unboundedPreceding, 0))
+    before = F.max(F.when(F.col("entity").isNull(), F.col("pos"))).over(order.rangeBetween(W.unboundedPreceding, -1))
+    seen = events.withColumn("nearest", nearest).withColumn("before", before).where("entity IS NULL")
+    free = (F.col("pos") - F.col("nearest.end") <= within) & (F.col("before").isNull() | (F.col("before") < F.col("nearest.end")))
+    return seen.select("doc_id", "pos", F.when(free, F.col("nearest.name")).alias("name"))
+
+
+def drop_noise(clauses: DataFrame) -> DataFrame:
+    """Clauses without those of a heading only (body under 5 characters, under 15 tokens); structural labels stay."""
+    label = F.col("heading").rlike(r"(?i)^(SCHEDULE|EXHIBIT|ANNEX|APPENDIX|PART)\b")
+    empty = (F.length("body") < 5) & (T.token_count(F.concat_ws(" ", "heading", "body")) < 15)
+    return clauses.where(~empty | label)
+
+
+def merge_rule_entities(found: DataFrame, rules: DataFrame, key: str) -> DataFrame:
+    """Spans (key, start, end, ...) of ``found`` and those of ``rules`` that overlap none of them."""
+    return found.unionByName(overlap_anti(rules, found, key))
+
+
+def definition_groups(clauses: DataFrame) -> DataFrame:
+    """(doc_id, chunk_type, terms) of chunks (doc_id, heading, bodies): under a heading of definitions each body is an item; unparsed ones go where one parsed."""
+    parsed = F.filter(F.transform("bodies", lambda b: T.parse_definition(b, 1)), lambda t: t != "")
+    is_group = F.col("heading").rlike(r"(?i)\bDEFINITIONS?\b") & (F.size(parsed) > 0)
+    return clauses.select("doc_id", F.when(is_group, "DEFINITION_GROUP").otherwise("CLAUSE").alias("chunk_type"), F.when(is_group, parsed).otherwise(F.array().cast("array<string>")).alias("terms"))

@@ -650,3 +650,6 @@ def _(v):
 @query("balanced_sample", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY clause_type ORDER BY md5(id), id) AS r FROM lines) WHERE r <= 25")
 def _(v):
     return R.keep_first(v("lines"), ["clause_type"], [F.md5("id"), "id"], 25).select("id")
+
+
+from pactspark import queries_text  # noqa: E402, F401  (registers its queries here)
