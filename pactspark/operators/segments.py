@@ -129,3 +129,12 @@ def definition_groups(clauses: DataFrame) -> DataFrame:
     parsed = F.filter(F.transform("bodies", lambda b: T.parse_definition(b, 1)), lambda t: t != "")
     is_group = F.col("heading").rlike(r"(?i)\bDEFINITIONS?\b") & (F.size(parsed) > 0)
     return clauses.select("doc_id", F.when(is_group, "DEFINITION_GROUP").otherwise("CLAUSE").alias("chunk_type"), F.when(is_group, parsed).otherwise(F.array().cast("array<string>")).alias("terms"))
+
+
+# Fixed values.
+FURNITURE = ("page_header", "page_footer", "footnote", "picture", "figure", "chart", "formula", "code", "checkbox", "empty_value")
+
+
+def filter_item_labels(items: DataFrame) -> DataFrame:
+    """Layout items whose label holds no name of page furniture; a null label stays."""
+    return items.where(~F.coalesce(F.lower("label").rlike("|".join(FURNITURE)), F.lit(False)))

@@ -265,3 +265,11 @@ def _(v):
 def _(v):
     preferred = F.when(F.col("date_type") == "ABSOLUTE", 0).otherwise(1)
     return v("tasks").groupBy("contract_id", "clause_index").agg(F.min_by("id", F.struct(preferred, F.col("due_date").isNull().cast("int"), "id")).alias("raw"))
+
+
+_LABELS = ["text", "Page_Header", "list_item", "section_header", "picture_1", "table", "footnote", "code"]
+
+
+@query("filter_item_labels", f"SELECT id, {_case(_LABELS)} AS label FROM lines WHERE n % 8 IN (0, 2, 3, 5)")
+def _(v):
+    return S.filter_item_labels(v("lines").select("id", F.expr(_case(_LABELS)).alias("label")))
