@@ -11,9 +11,12 @@ Candidates are not all pairs of a bucket. Round one verifies every member agains
 the bucket's least id (a star, linear in the bucket's size), the least of its leaders
 first, then those with which it isn't connected by then. Round two is for members that
 stay apart from a leader: they meet the bucket's other members with which they aren't
-connected either. Verification is a banded alignment of the words: a pair is
-linked if edit distance <= 0.2 x the longer length, both without the words of k-mers
-that occurred twice before. Connected links are classes.
+connected either, if their bags of words allow it: two texts are at least as many
+edits apart as the longer has words beyond those that both hold, and counts of words by
+``SLOTS`` hash values bound that number from above, so no link is lost. Texts that share
+a phrase and little else, however often they repeat it, are sorted out here without
+reading them. Verification is a banded alignment of all words of both texts: a pair is
+linked if edit distance <= 0.2 x the longer length. Connected links are classes.
 
 Exact copies are grouped by digest first; one text per digest enters all that.
 
@@ -37,8 +40,8 @@ from pactspark.llm.common import DOCUMENT_COLUMNS, materialise, own_worker, tabl
 K = 5
 SIMILARITY = 0.8
 TAKE, ROWS, BANDS = 2, 3, 48
-#: Further occurrences of a k-mer don't count.
-REPEATS = 2
+#: Counts that stand for a text's bag of words.
+SLOTS = 512
 SKETCHES = ROWS * BANDS
 #: Up to so many ids (16 bytes each) are broadcast to pick texts from a scan; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -80,29 +83,22 @@ def _mers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(mers, kind="stable")
     first = np.concatenate(([True], mers[order][1:] != mers[order][:-1]))
     at = np.arange(len(mers))
-    occurrence = np.empty(len(mers), np.int64)
+    occurrence = np.empty(len(mers), np.uint64)
     occurrence[order] = at - np.maximum.accumulate(np.where(first, at, 0))
     return mers, occurrence
 
 
-def condensed(words: np.ndarray) -> np.ndarray:
-    """Words without those where a k-mer starts that occurred ``REPEATS`` times before.
-
-    Else texts that repeat one phrase hundreds of times would be alike whatever else they say.
-    """
-    if len(words) <= K:
-        return words
-    _, occurrence = _mers(words)
-    again = occurrence >= REPEATS
-    return words[~np.concatenate((again, np.zeros(K - 1, bool)))] if again.any() else words
+def bag(hashes: np.ndarray) -> np.ndarray:
+    """How many words fall into each of ``SLOTS`` slots."""
+    return np.bincount((hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.int32)
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """The band keys (signed 64 bits) of a text whose words have these hashes; none without words."""
     if not len(hashes):
         return np.empty(0, np.int64)
-    mers, occurrence = _mers(condensed(hashes))
-    labelled = _mixed(mers + occurrence.astype(np.uint64) * _MIX)
+    mers, occurrence = _mers(hashes)
+    labelled = _mixed(mers + occurrence * _MIX)
     sketches = np.empty(SKETCHES, np.uint64)
     step = max(1, (1 << 21) // len(mers))
     for s in range(0, SKETCHES, step):
@@ -200,30 +196,31 @@ def near(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     if not x or not y:
         return False
     number: dict[str, int] = {}
-    u, v = (condensed(np.array([number.setdefault(w, len(number)) for w in z], np.uint64)).astype(np.int64) for z in (x, y))
-    limit = int((1 - similarity) * max(len(u), len(v)) + 1e-9)
+    u, v = (np.array([number.setdefault(w, len(number)) for w in z], np.int64) for z in (x, y))
+    limit = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
     return edit_distance(u, v, limit) <= limit
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the whole text), n_words, bands."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, digest (of the whole text), n_words, bands, bag."""
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("bands", pa.list_(pa.int64())), ("bag", pa.list_(pa.int32()))])
     words = _Words()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("near_dup")
         for batch in batches:
-            digests, counts, bands = [], [], []
+            digests, counts, bands, bags = [], [], [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 hashes = words.hashes(text.lower().split())
                 digests.append(xxhash.xxh3_128_digest(text.encode()))
-                counts.append(len(condensed(hashes)))
+                counts.append(len(hashes))
                 bands.append(band_keys(hashes))
-            made = [pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+                bags.append(bag(hashes))
+            made = [pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bags, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, n_words long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest binary, n_words long, bands array<long>, bag array<int>")
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -309,12 +306,21 @@ def classes(docs: DataFrame) -> DataFrame:
     outcome = outcome.unionByName(connected(rest.where("a_label != b_label").select("a", "b")))
     # Round two: members that no alignment or chain connects with a leader meet the rest of its bucket.
     apart = _labelled(_labelled(stars.withColumnRenamed("leader", "a").withColumnRenamed("node", "b"), "a", label), "b", label).where("a_label != b_label")
-    apart = apart.select("key", F.col("b").alias("node"), "n_words", F.col("b_label").alias("label"))
+    apart = apart.select("key", F.col("b").alias("node"), "n_words", F.col("b_label").alias("label"), F.col("a_label").alias("leader_label"))
     if not apart.isEmpty():
         hot = stars.join(apart.select("key").distinct(), "key", "left_semi")
         other = _labelled(hot.withColumnRenamed("node", "b"), "b", label).select("key", F.col("b").alias("other"), F.col("n_words").alias("other_words"), F.col("b_label").alias("other_label"))
+        held = signed.select(F.col("doc_id").alias("node"), "bands", "bag").join(hot.select("node").distinct(), "node", "left_semi")
+        held = materialise(held.dropDuplicates(["node"]), "near-held")
+        apart = apart.join(held, "node")
+        other = other.join(held.select(F.col("node").alias("other"), F.col("bands").alias("other_bands"), F.col("bag").alias("other_bag")), "other")
+        # A pair of two labels is apart from the leader in each bucket it shares, on one side at least: it counts in the first of them, once.
+        once = (F.col("other_label") == F.col("leader_label")) | (F.col("node") < F.col("other"))
+        once = once & (F.col("key") == F.array_min(F.array_intersect("bands", "other_bands")))
         long, short = F.greatest("n_words", "other_words"), F.least("n_words", "other_words")
-        fits = (F.col("label") != F.col("other_label")) & (short >= long * SIMILARITY)
+        shared = F.expr("aggregate(zip_with(bag, other_bag, (x, y) -> least(x, y)), 0, (n, x) -> n + x)")
+        limit = F.floor(long * (1 - SIMILARITY) + 1e-9)
+        fits = (F.col("label") != F.col("other_label")) & (short >= long - limit) & once & (shared >= long - limit)
         pairs = apart.join(other, "key").where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         connected(pairs.join(outcome.select("a", "b"), ["a", "b"], "left_anti"))
     found = member.join(label, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))

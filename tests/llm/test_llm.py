@@ -164,6 +164,23 @@ def test_near_dup_odd(spark, odd):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 2, 4, 5]
 
 
+def test_near_dup_repeats(spark):
+    """All words count: repeats make texts alike or unlike as any other words do, and no link is lost in a bucket."""
+    rng = random.Random(5)
+    own = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    phrase = "so it is "
+    texts = [phrase * 60 + own(rng.choice([20, 36, 45, 60, 90])) for _ in range(60)] + [phrase * n for n in (10, 11, 40, 45)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in near_dup.classes(docs).collect()}
+    above = [*range(len(texts))]
+    for a, b in itertools.combinations(above[:], 2):
+        if near_dup.near(texts[a], texts[b]) and above[a] != above[b]:
+            low, high = sorted((above[a], above[b]))
+            above = [low if x == high else x for x in above]
+    assert got == dict(enumerate(above))
+    assert len({*above}) > 3
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(400):
