@@ -1,21 +1,27 @@
 """Near-duplicate detection by Order MinHash.
 
-A text's words (lower case, split at white space) give k-mers of five words, each
-labelled with how often it occurred before. A sketch takes the ``TAKE`` labelled
-k-mers of least hash and keeps them in text order, so it is sensitive to edit
-similarity and not only to shared content. ``ROWS`` sketches make a band, ``BANDS``
-bands make the candidates: at a similarity of 0.8 a pair misses all of them with a
-probability below 1e-6.
+A text's words (lower case, split at white space) are each labelled with how often
+they occurred before. A sketch takes the ``TAKE`` labelled words of least hash and
+keeps them in text order, so it is sensitive to edit similarity and not only to shared
+content. Each of ``BANDS`` sketches is a bucket. Two texts of edit similarity 0.8 or
+more hold at least two thirds of their labelled words in common, wherever the edits
+are (n words with 0.2 n substituted: 0.8 n of 1.2 n); a sketch then agrees with a chance
+of 0.117 or more (40 words; 0.13 in long texts), so a pair misses all buckets with a
+probability below 1e-6, as long as the shared labelled words stand in the same order. An
+edit of a word that occurs more often shifts the labels of its later occurrences, which can
+break that order: for such pairs the bound isn't exact. Texts under ``SHORT`` words
+take only ``TAKE_SHORT`` words, as few edits leave them fewer in common; texts that can
+be linked to both kinds have the sketches of both.
 
 Candidates are not all pairs of a bucket. Round one verifies every member against
-the bucket's least id (a star, linear in the bucket's size), the least of its leaders
-first, then those with which it isn't connected by then. Round two is for members that
+the bucket's least id (a star, linear in the bucket's size) if their bags of words
+allow a link (as below), the least of these leaders first, then those with which it isn't connected by then. Round two is for members that
 stay apart from a leader: they meet the bucket's other members with which they aren't
 connected either, if their bags of words allow it: two texts are at least as many
 edits apart as the longer has words beyond those that both hold, and counts of words by
 ``SLOTS`` hash values bound that number from above, so no link is lost. Texts that share
 a phrase and little else, however often they repeat it, are sorted out here without
-reading them. Verification is a banded alignment of all words of both texts: a pair is
+reading them. Verification is an exact alignment of all words of both texts: a pair is
 linked if edit distance <= 0.2 x the longer length. Connected links are classes.
 
 Exact copies are grouped by digest first; one text per digest enters all that.
@@ -32,21 +38,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pactspark.llm.common import DOCUMENT_COLUMNS, materialise, own_worker, table
 
-K = 5
 SIMILARITY = 0.8
-TAKE, ROWS, BANDS = 2, 3, 48
+TAKE, BANDS = 5, 112
+#: Texts of fewer words are sketched by ``TAKE_SHORT`` words.
+SHORT, TAKE_SHORT = 40, 3
 #: Counts that stand for a text's bag of words.
 SLOTS = 512
-SKETCHES = ROWS * BANDS
+#: Buckets of up to so many texts make their pairs before the bags are read.
+FEW = 64
 #: Up to so many ids (16 bytes each) are broadcast to pick texts from a scan; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 _RNG = np.random.Generator(np.random.Philox(key=[7, 5]))
-_FACTORS = _RNG.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = _RNG.integers(0, 1 << 31, BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
@@ -74,18 +82,14 @@ class _Words:
         return np.array([known[w] for w in words], np.uint64)
 
 
-def _mers(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-mers of words, and how often each occurred before."""
-    k = min(K, len(hashes))
-    mers = np.zeros(len(hashes) - k + 1, np.uint64)
-    for i in range(k):
-        mers = _mixed(mers * _MIX + hashes[i : len(mers) + i])
-    order = np.argsort(mers, kind="stable")
-    first = np.concatenate(([True], mers[order][1:] != mers[order][:-1]))
-    at = np.arange(len(mers))
-    occurrence = np.empty(len(mers), np.uint64)
+def _occurrences(hashes: np.ndarray) -> np.ndarray:
+    """How often each word occurred before."""
+    order = np.argsort(hashes, kind="stable")
+    first = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))
+    at = np.arange(len(hashes))
+    occurrence = np.empty(len(hashes), np.uint64)
     occurrence[order] = at - np.maximum.accumulate(np.where(first, at, 0))
-    return mers, occurrence
+    return occurrence
 
 
 def bag(hashes: np.ndarray) -> np.ndarray:
@@ -95,28 +99,28 @@ def bag(hashes: np.ndarray) -> np.ndarray:
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """The band keys (signed 64 bits) of a text whose words have these hashes; none without words."""
-    if not len(hashes):
+    n = len(hashes)
+    if not n:
         return np.empty(0, np.int64)
-    mers, occurrence = _mers(hashes)
-    labelled = _mixed(mers + occurrence * _MIX)
-    sketches = np.empty(SKETCHES, np.uint64)
-    step = max(1, (1 << 21) // len(mers))
-    for s in range(0, SKETCHES, step):
+    takes = [t for t, fits in ((TAKE_SHORT, n * SIMILARITY < SHORT), (TAKE, n >= SHORT)) if fits]
+    words = _mixed(hashes)
+    labelled = (_mixed(words * _MIX + _occurrences(hashes) * _MIX) >> np.uint64(32)).astype(np.uint32)
+    keys = np.empty((len(takes), BANDS), np.uint64)
+    step = max(1, (1 << 18) // n)
+    for s in range(0, BANDS, step):
         rank = _FACTORS[s : s + step, None] * labelled[None, :]
         row = np.arange(len(rank))
         taken = []
-        for _ in range(min(TAKE, len(mers))):
+        for _ in range(min(takes[-1], n)):
             best = rank.argmin(1)
             taken.append(best)
-            rank[row, best] = np.uint64(0xFFFFFFFFFFFFFFFF)
-        sketch = np.zeros(len(rank), np.uint64)
-        for p in np.sort(np.array(taken), axis=0):
-            sketch = _mixed(sketch * _MIX + mers[p])
-        sketches[s : s + step] = sketch
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for r in range(ROWS):
-        key = _mixed(key * _MIX + sketches[r::ROWS])
-    return key.view(np.int64)
+            rank[row, best] = 0xFFFFFFFF
+        for i, take in enumerate(takes):
+            key = np.arange(s, s + len(rank), dtype=np.uint64) + np.uint64(1 + take * BANDS)
+            for p in np.sort(np.array(taken[:take]), axis=0):
+                key = _mixed(key * _MIX + words[p])
+            keys[i, s : s + step] = key
+    return keys.reshape(-1).view(np.int64)
 
 
 def _run_length(a: np.ndarray, b: np.ndarray) -> int:
@@ -131,7 +135,7 @@ def _run_length(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
-    """Edit distance of two integer arrays, or limit + 1 if it is larger; only diagonals within the limit are visited."""
+    """Edit distance of two integer arrays, or limit + 1 if it is larger; eight edits are looked for along diagonals, more by columns."""
     if abs(len(a) - len(b)) > limit:
         return limit + 1
     p = _run_length(a, b)
@@ -146,7 +150,7 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
         return limit + 1
     # Few edits: the furthest row that each diagonal reaches with d edits.
     reach = {0: _run_length(a, b)}
-    for d in range(1, min(limit, 32) + 1):
+    for d in range(1, min(limit, 8) + 1):
         ahead = {}
         for k in range(-d, d + 1):  # column = row + k
             i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
@@ -157,37 +161,34 @@ def edit_distance(a: np.ndarray, b: np.ndarray, limit: int) -> int:
             if i == n and i + k == m:
                 return d
         reach = ahead
-    if limit <= 32:
+    if limit <= 8:
         return limit + 1
-    band = 64
-    while True:  # many edits: rows of a band that widens until the distance fits in it
-        band = min(band, limit)
-        if (d := _banded(a, b, band)) <= band or band == limit:
-            return min(d, limit + 1)
-        band *= 4
-
-
-def _banded(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    n, m, big = len(a), len(b), 1 << 30
-    if abs(n - m) > band:
-        return band + 1
-    step = np.arange(2 * band + 1)
-    columns = step - band  # of row 0
-    row = np.where((columns >= 0) & (columns <= m), columns, big)
-    padded = np.full(n + m + 4 * band + 4, -1, np.int64)
-    padded[band + 1 : band + 1 + m] = b
-    for i in range(1, n + 1):
-        columns = columns + 1
-        now = row + (padded[i : i + 2 * band + 1] != a[i - 1])
-        now[:-1] = np.minimum(now[:-1], row[1:] + 1)
-        now = np.where((columns >= 0) & (columns <= m), now, big)
-        if i <= band:
-            now[band - i] = i
-        now = np.minimum.accumulate(now - step) + step
-        row = np.where(columns <= m, now, big)
-        if row.min() > band:
-            return band + 1
-    return int(row[m - n + band])
+    return _by_bits(a.tolist(), b.tolist(), limit)
+
+
+def _by_bits(a: list[int], b: list[int], limit: int) -> int:
+    """Edit distance, or limit + 1 if it is larger: a column of the table in two integers, a bit for each element of ``a``."""
+    at: dict[int, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    mask, top, distance = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = mask, 0  # where the table grows or falls by 1 from one row to the next
+    for left, x in zip(range(len(b) - 1, -1, -1), b):
+        same = at.get(x, 0)
+        vertical = same | down
+        horizontal = (((same & up) + up) ^ up) | same
+        more = down | (mask & ~(horizontal | up))
+        less = up & horizontal
+        if more & top:
+            distance += 1
+        elif less & top:
+            distance -= 1
+        if distance - left > limit:
+            return limit + 1
+        more = (more << 1 | 1) & mask
+        up = (less << 1 & mask) | (mask & ~(vertical | more))
+        down = more & vertical
+    return min(distance, limit + 1)
 
 
 def near(a: str, b: str, similarity: float = SIMILARITY) -> bool:
@@ -267,6 +268,21 @@ def _labelled(df: DataFrame, column: str, label: DataFrame) -> DataFrame:
     return df.join(named, column, "left").withColumn(f"{column}_label", F.coalesce(f"{column}_label", column))
 
 
+def _least_shared(longer: Column | str) -> Column:
+    """How many words two linked texts share at least, the longer having so many."""
+    longer = F.col(longer) if isinstance(longer, str) else longer
+    return longer - F.floor(longer * (1 - SIMILARITY) + 1e-9)
+
+
+def _lengths_fit(a: str, b: str) -> Column:
+    return F.least(a, b) >= _least_shared(F.greatest(a, b))
+
+
+def _bags_fit(longer: Column | str) -> Column:
+    """Whether ``bag`` and ``other_bag`` allow a link; no link is lost."""
+    return F.expr("aggregate(zip_with(bag, other_bag, (x, y) -> least(x, y)), 0, (n, x) -> n + x)") >= _least_shared(longer)
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least id of its class): one row for each id of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -277,11 +293,12 @@ def classes(docs: DataFrame) -> DataFrame:
     member = materialise(member.distinct(), "near-members")
     nodes = member.select("node").distinct()
     buckets = materialise(
-        signed.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n_words", F.explode("bands").alias("key")).distinct(),
+        signed.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "n_words", F.explode("bands").alias("key")),
         "near-buckets",
     )
-    leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader")
-    stars = materialise(buckets.join(leaders, "key").where("node != leader").select("key", "leader", "node", "n_words"), "near-stars")
+    leaders = buckets.groupBy("key").agg(F.min(F.struct("node", "n_words")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leaders = leaders.select("key", F.col("least.node").alias("leader"), F.col("least.n_words").alias("leader_words"), "n")
+    stars = materialise(buckets.join(leaders, "key").where("node != leader").select("key", "leader", "leader_words", "node", "n_words", "n"), "near-stars")
 
     label = None  # (node, label) of what is connected so far
 
@@ -299,30 +316,41 @@ def classes(docs: DataFrame) -> DataFrame:
         label = materialise(old.unionByName(top.join(label.select("node"), "node", "left_anti")), "near-labels")
         return outcome
 
-    # Round one: every member against the least of its leaders, and then against those it isn't connected with yet.
-    pairs = stars.selectExpr("leader AS a", "node AS b").distinct()
-    outcome = connected(stars.groupBy("node").agg(F.min("leader").alias("leader")).selectExpr("leader AS a", "node AS b"))
+    # Round one: every member against the least of its leaders that it can be linked to, and then against those it isn't connected with yet.
+    pairs = stars.where(_lengths_fit("leader_words", "n_words")).select(F.col("leader").alias("a"), F.col("node").alias("b"), F.greatest("leader_words", "n_words").alias("longer")).distinct()
+    held = signed.select("doc_id", "bag").dropDuplicates(["doc_id"])
+    pairs = pairs.join(held.selectExpr("doc_id AS a", "bag"), "a").join(held.selectExpr("doc_id AS b", "bag AS other_bag"), "b")
+    pairs = materialise(pairs.where(_bags_fit("longer")).select("a", "b"), "near-possible")
+    outcome = connected(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     rest = _labelled(_labelled(pairs.join(outcome.select("a", "b"), ["a", "b"], "left_anti"), "a", label), "b", label)
     outcome = outcome.unionByName(connected(rest.where("a_label != b_label").select("a", "b")))
     # Round two: members that no alignment or chain connects with a leader meet the rest of its bucket.
-    apart = _labelled(_labelled(stars.withColumnRenamed("leader", "a").withColumnRenamed("node", "b"), "a", label), "b", label).where("a_label != b_label")
-    apart = apart.select("key", F.col("b").alias("node"), "n_words", F.col("b_label").alias("label"), F.col("a_label").alias("leader_label"))
+    # A bucket of two has no rest.
+    apart = _labelled(_labelled(stars.where("n > 2").withColumnRenamed("leader", "a").withColumnRenamed("node", "b"), "a", label), "b", label).where("a_label != b_label")
+    apart = apart.select("key", "n", F.col("b").alias("node"), "n_words", F.col("b_label").alias("label"), F.col("a_label").alias("leader_label"))
     if not apart.isEmpty():
         hot = stars.join(apart.select("key").distinct(), "key", "left_semi")
         other = _labelled(hot.withColumnRenamed("node", "b"), "b", label).select("key", F.col("b").alias("other"), F.col("n_words").alias("other_words"), F.col("b_label").alias("other_label"))
-        held = signed.select(F.col("doc_id").alias("node"), "bands", "bag").join(hot.select("node").distinct(), "node", "left_semi")
-        held = materialise(held.dropDuplicates(["node"]), "near-held")
-        apart = apart.join(held, "node")
-        other = other.join(held.select(F.col("node").alias("other"), F.col("bands").alias("other_bands"), F.col("bag").alias("other_bag")), "other")
-        # A pair of two labels is apart from the leader in each bucket it shares, on one side at least: it counts in the first of them, once.
-        once = (F.col("other_label") == F.col("leader_label")) | (F.col("node") < F.col("other"))
-        once = once & (F.col("key") == F.array_min(F.array_intersect("bands", "other_bands")))
-        long, short = F.greatest("n_words", "other_words"), F.least("n_words", "other_words")
-        shared = F.expr("aggregate(zip_with(bag, other_bag, (x, y) -> least(x, y)), 0, (n, x) -> n + x)")
-        limit = F.floor(long * (1 - SIMILARITY) + 1e-9)
-        fits = (F.col("label") != F.col("other_label")) & (short >= long - limit) & once & (shared >= long - limit)
-        pairs = apart.join(other, "key").where(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
-        connected(pairs.join(outcome.select("a", "b"), ["a", "b"], "left_anti"))
+        bags = signed.select("doc_id", "bag").dropDuplicates(["doc_id"])
+        # A pair of two labels is apart from the leader in each bucket it shares, on one side at least.
+        fits = (F.col("label") != F.col("other_label")) & ((F.col("other_label") == F.col("leader_label")) | (F.col("node") < F.col("other"))) & _lengths_fit("n_words", "other_words")
+        named = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
+        longer = F.greatest("n_words", "other_words")
+        # Small buckets: their pairs once each, then the bags.
+        few = apart.where(F.col("n") <= FEW).join(other, "key").where(fits).select(*named, longer.alias("longer")).distinct()
+        few = few.join(bags.selectExpr("doc_id AS a", "bag"), "a").join(bags.selectExpr("doc_id AS b", "bag AS other_bag"), "b")
+        pairs = few.where(_bags_fit("longer")).select("a", "b")
+        # Large buckets, which may share many pairs: a pair counts in the first that it shares, and its bags are compared there.
+        many = apart.where(F.col("n") > FEW)
+        if not many.isEmpty():
+            large = other.join(many.select("key").distinct(), "key", "left_semi")
+            held = signed.select(F.col("doc_id").alias("node"), "bands", "bag").join(large.select(F.col("other").alias("node")).distinct(), "node", "left_semi")
+            held = materialise(held.dropDuplicates(["node"]), "near-held")
+            large = large.join(held.select(F.col("node").alias("other"), F.col("bands").alias("other_bands"), F.col("bag").alias("other_bag")), "other")
+            once = F.col("key") == F.array_min(F.array_intersect("bands", "other_bands"))
+            more = many.join(held, "node").join(large, "key").where(fits & once & _bags_fit(longer))
+            pairs = pairs.unionByName(more.select(*named))
+        connected(pairs.distinct().join(outcome.select("a", "b"), ["a", "b"], "left_anti"))
     found = member.join(label, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))
     return found.unionByName(docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id")))
 

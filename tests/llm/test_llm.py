@@ -181,6 +181,24 @@ def test_near_dup_repeats(spark):
     assert len({*above}) > 3
 
 
+def test_near_dup_scattered_edits(spark):
+    """Pairs just above the limit are linked wherever their edits stand, in short and long texts."""
+    rng = random.Random(8)
+    texts = []
+    for n in [5, 9, 10, 19, 25, 39, 40, 47, 50, 80, 150, 300, 900] * 4:
+        a = [f"w{int(rng.paretovariate(0.4)) % 10**6}" for _ in range(n)]
+        b = list(a)
+        for i in rng.sample(range(n), n // 5):
+            b[i] = f"new{rng.randrange(10**9)}"
+        gone = {*rng.sample(range(n), n // 5)}
+        c = [x for i, x in enumerate(a) if i not in gone]
+        texts += [" ".join(x) for x in (a, b, c)]
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    linked = [(a, b) for a in range(0, len(texts), 3) for b in (a + 1, a + 2) if near_dup.near(texts[a], texts[b])]
+    assert len(linked) > 0.9 * len(texts) * 2 / 3
+    assert [(a, b) for a, b in linked if got[a] != got[b]] == []
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(400):
