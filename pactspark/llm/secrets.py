@@ -9,7 +9,12 @@ Two layers find spans in a text:
   and the sum of ``c * log2(c)`` are kept up to date as one character leaves and
   one enters, so each step costs the same whatever the window's width. The
   candidate's character class (hex, upper-case alphanumeric, base64) sets the
-  entropy that a window must reach. Candidates on the allow-list are suppressed.
+  entropy that a window must reach. Candidates on the allow-list are suppressed;
+* pieces: the maximal runs of hex, upper-case or lower-case alphanumerics in the text,
+  whatever joins them to other characters (``key=``, ``sk_live_``). All windows of one of
+  these classes lie in such a run, so each is judged by its own class's limit. A piece
+  with a digit, off the allow-list by itself, is a span as a whole if one window reaches
+  the limit.
 
 Positions: ``split`` and ``regexp_extract_all`` walk a text in the same way, so
 running sums over their pieces are the matches' offsets, in code points.
@@ -35,10 +40,18 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 
+#: Runs of one class, and their kind; the limits of the lower-case and the upper-case class are the same, as are their alphabets' sizes.
+PIECES = (
+    (r"(?<![0-9a-f])[0-9a-f]{20,}+", 3),
+    (r"(?<![0-9A-F])[0-9A-F]{20,}+", 3),
+    (r"(?<![0-9A-Z])[0-9A-Z]{20,}+", 4),
+    (r"(?<![0-9a-z])[0-9a-z]{20,}+", 6),
+)
+
 WINDOW = 20
 ALPHABET = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 #: Bits per character that a window of a class must reach.
-THRESHOLDS = {"ent_hex": 3.0, "ent_upper": 3.6, "ent_base64": 3.9}
+THRESHOLDS = {"ent_hex": 3.0, "ent_upper": 3.6, "ent_base64": 3.9, "ent_lower": 3.6}
 #: Candidates that match one of these are no secrets.
 ALLOW_LIST = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
@@ -69,12 +82,12 @@ def _located(text: str, pattern: str, kind: int) -> str:
         acc -> acc.out) ELSE {none} END"""
 
 
-def _entropy_extent(hit: str) -> str:
+def _entropy_extent(hit: str, kind: str) -> str:
     """SQL for struct<first, last>: from the first to the last window that reaches its class's entropy (first -1: none)."""
     f = [0, *(round(c * math.log2(c) * _SCALE) for c in range(1, WINDOW + 1)), 0]
     table_ = "array(" + ", ".join(f"{x}L" for x in f) + ")"
     cap = {k: round((math.log2(WINDOW) - t) * WINDOW * _SCALE) for k, t in THRESHOLDS.items()}
-    limit = f"CASE {_class(hit)} WHEN 3 THEN {cap['ent_hex']}L WHEN 4 THEN {cap['ent_upper']}L ELSE {cap['ent_base64']}L END"
+    limit = f"CASE {kind} WHEN 3 THEN {cap['ent_hex']}L WHEN 4 THEN {cap['ent_upper']}L WHEN 6 THEN {cap['ent_lower']}L ELSE {cap['ent_base64']}L END"
     leave = f"(CASE WHEN i > {WINDOW} THEN y.codes[i - {WINDOW + 1}] ELSE 0 END)"
     enter = "y.codes[i - 1]"
     gone = f"(CASE WHEN i > {WINDOW} THEN acc.counts[y.codes[i - {WINDOW + 1}] - 1] ELSE 1 END)"
@@ -103,7 +116,7 @@ def _class(hit: str) -> str:
 def find_spans(docs: DataFrame, text_col: str = "text", allow_list: tuple[str, ...] = ALLOW_LIST, base_col: str = "base_spans", spans_col: str = "spans") -> DataFrame:
     """Add (or replace) ``base_spans`` and ``spans``: array<struct<start, kind, end>> ordered by start and kind.
 
-    ``kind`` is a position in ``assign, access, hex, ent_hex, ent_upper, ent_base64``;
+    ``kind`` is a position in ``assign, access, hex, ent_hex, ent_upper, ent_base64, ent_lower``;
     offsets are code points from 0, the end is exclusive. ``spans`` holds the base
     spans and those of the entropy layer.
     """
@@ -121,14 +134,19 @@ def find_spans(docs: DataFrame, text_col: str = "text", allow_list: tuple[str, .
     df = df.withColumn(
         "_secret_entropy",
         F.expr(
-            f"filter(transform(_secret_cand, x -> named_struct('x', x, 'w', {_entropy_extent('x.hit')}, 'k', {_class('x.hit')})), z -> z.w.first >= 0)"
+            f"filter(transform(_secret_cand, x -> named_struct('x', x, 'w', {_entropy_extent('x.hit', _class('x.hit'))}, 'k', {_class('x.hit')})), z -> z.w.first >= 0)"
         ),
     )
+    # Candidates that are of one class as a whole are judged above.
+    whole = "exists(_secret_cand, c -> c.start = x.start AND c.`end` = x.`end` AND x.kind = k)".replace("= k)", f"= {_class('c.hit')})")
+    found = "concat(" + ", ".join(_located(t, p, k) for p, k in PIECES) + ")"
+    df = df.withColumn("_secret_piece", F.expr(f"filter({found}, x -> x.hit RLIKE '[0-9]' AND NOT ({allowed}))"))
+    df = df.withColumn("_secret_piece", F.expr(f"filter(filter(_secret_piece, x -> NOT {whole}), x -> {_entropy_extent('x.hit', 'x.kind')}.first >= 0)"))
     base = f"concat({bare('_secret_assign')}, {bare('_secret_access')}, {bare('_secret_hex')})"
     more = "transform(_secret_entropy, z -> named_struct('start', z.x.start + z.w.first, 'kind', z.k, 'end', z.x.start + z.w.last))"
     df = df.withColumn(base_col, F.expr(f"array_sort(cast({base} as array<{slim}>))"))
-    df = df.withColumn(spans_col, F.expr(f"array_sort(concat(`{base_col}`, cast({more} as array<{slim}>)))"))
-    return df.drop(t, "_secret_assign", "_secret_access", "_secret_hex", "_secret_cand", "_secret_entropy")
+    df = df.withColumn(spans_col, F.expr(f"array_sort(concat(`{base_col}`, cast(array_distinct(concat({more}, {bare('_secret_piece')})) as array<{slim}>)))"))
+    return df.drop(t, "_secret_assign", "_secret_access", "_secret_hex", "_secret_cand", "_secret_entropy", "_secret_piece")
 
 
 def _joined(spans: str) -> Column:

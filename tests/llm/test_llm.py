@@ -77,6 +77,20 @@ def test_entropy_windows(spark):
         assert [tuple(s) for s in r.spans if s.kind >= 3] == ([(good[0], kind, good[-1] + 20)] if good else [])
 
 
+def test_joined_keys(spark):
+    """Keys of one class are found and redacted as a whole, whatever name is joined to them."""
+    rng = random.Random(4)
+    lower, upper, hexes = "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789ABCDEF"
+    texts = []
+    for name in ("", "key=", "SESSION=", "sk_live_", "/a/b/"):
+        for letters, n in ((lower, 20), (lower, 32), (upper, 32), (hexes, 32)):
+            texts += [(name, "".join(rng.choice(letters) for _ in range(n))) for _ in range(30)]
+    rows = spark.createDataFrame([(i, f"see {a}{k} here") for i, (a, k) in enumerate(texts)], "doc_id long, text string")
+    left = [k for r in secrets.redact(rows).collect() for k in [texts[r.doc_id][1]] if any(k[j : j + 8] in r.text for j in range(len(k) - 7))]
+    assert len(left) < 0.05 * len(texts)
+    assert secrets.redact(spark.createDataFrame([(1, "see 12345678901234567890123 and abcdefghij0123456789 or internationalisationally")], "doc_id long, text string")).first().text.startswith("see 12345678901234567890123 and abcdefghij0123456789 or")
+
+
 def test_media(spark, odd):
     for r in media.read_features(media.store_texts(odd.select("doc_id", "text"))).collect():
         raw = (next(t for i, t, *_ in ODD if i == r.doc_id) or "").encode()
