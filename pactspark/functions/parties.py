@@ -84,6 +84,12 @@ def is_jurisdiction(body: Column, start: Column, end: Column, around: int = 60)
     return F.lower(F.substring(body, first + 1, end + around - first)).rlike("|".join(LAW_SIGNALS))
 
 
+def entity_label(label: Column, body: Column, start: Column, end: Column) -> Column:
+    """Our label of a found entity: persons are parties, PERCENT is PERCENTAGE, places only where the text around speaks of law; other labels than ours give null."""
+    kind = F.upper(label)
+    return F.when(kind.isin("PERSON", "PARTY"), "PARTY").when(kind == "PERCENT", "PERCENTAGE").when(kind.isin("ORG", "MONEY", "DATE"), kind).when((kind == "GPE") & is_jurisdiction(body, start, end), "JURISDICTION")
+
+
 def heading_party(heading: Column) -> Column:
     """The party of "OBLIGATIONS OF (THE) X", six words at most, else null."""
     found = F.regexp_extract(heading, HEADING_PARTY, 1)

@@ -165,3 +165,66 @@ def patch(rows: DataFrame, changes: DataFrame, key: str, fields: list[str]) -> D
     for f in fields[1:]:
         changed = changed | differs(f)
     return both.where(changed).select(key, shown("r").alias("before"), shown("c").alias("after"))
+
+
+def resolve(tasks: DataFrame, found: DataFrame) -> DataFrame:
+    """Tasks (id, clause_id, kind, source_text) with ``found``: the text of one of their clause's (clause_id, ord, kind, found), or null.
+
+    Those of the task's kind go first, and all others only if there is none; among them the first that stands in the
+    task's source text wins, else the first that isn't empty. A clause's candidates travel as one array (they are parts of one text).
+    """
+    listed = found.groupBy("clause_id").agg(F.array_sort(F.collect_list(F.struct("ord", F.col("kind").alias("kind"), F.trim(F.coalesce("found", F.lit(""))).alias("found")))).alias("_all"))
+    both = tasks.drop("found").join(listed, "clause_id", "left")
+    same = F.filter("_all", lambda x: x["kind"].eqNullSafe(F.col("kind")))
+    given = F.filter(F.when(F.size(same) > 0, same).otherwise(F.col("_all")), lambda x: x["found"] != "")
+    grounded = F.filter(given, lambda x: F.instr(F.col("source_text"), x["found"]) > 0)
+    return both.withColumn("found", F.coalesce(F.get(grounded, 0)["found"], F.get(given, 0)["found"])).drop("_all")
+
+
+def alias_map(pairs: DataFrame) -> DataFrame:
+    """(alias, name) of (alias, name, place): the last name that an alias was given."""
+    return pairs.groupBy("alias").agg(F.max_by("name", "place").alias("name"))
+
+
+def resolve_aliases(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Entities (text, label, ...) with resolved_name and is_alias: parties and organisations by the alias map (alias, name), themselves if it doesn't have them; null for other labels."""
+    named = F.col("label").isin("PARTY", "ORG")
+    both = entities.join(aliases.select(F.col("alias").alias("text"), F.col("name").alias("_name")), "text", "left")
+    return both.withColumns({"resolved_name": F.when(named, F.coalesce("_name", "text")), "is_alias": F.when(named, F.col("_name").isNotNull())}).drop("_name")
+
+
+def first_overlap(tokens: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """Tokens (key, id, start, end) with ``entity``, the id of the first entity (by start, end, id) of their key that overlaps each, or null. A key is a text; its entities travel as one array."""
+    listed = entities.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "id"))).alias("_all"))
+    hit = F.get(F.filter("_all", lambda e: (e["start"] < F.col("end")) & (F.col("start") < e["end"])), 0)["id"]
+    return tokens.join(listed, key, "left").withColumn("entity", hit).drop("_all")
+
+
+# Fixed values.
+AUDIT_BODY, AUDIT_TINY, AUDIT_HUGE, AUDIT_NOISE = 10, 20, 1500, 30
+NOISE_WORDS = ("table of contents", "exhibit", "- i -", "- ii -", "page")
+# End of the fixed values.
+
+
+def audit(clauses: DataFrame) -> DataFrame:
+    """heading_only, tiny, huge and noise: how many clauses (heading, body, token_count) are suspect, and why. One row."""
+    text = F.lower(F.concat_ws(" ", "heading", "body"))
+    noisy = (F.col("token_count") < AUDIT_NOISE) & text.rlike("|".join(NOISE_WORDS))
+    tests = {"heading_only": F.length(F.trim(F.coalesce("body", F.lit("")))) < AUDIT_BODY, "tiny": F.col("token_count") < AUDIT_TINY, "huge": F.col("token_count") > AUDIT_HUGE, "noise": noisy}
+    return clauses.agg(*[F.count_if(t).alias(n) for n, t in tests.items()])
+
+
+def grounding(rows: DataFrame, key: str) -> DataFrame:
+    """By ``key`` and for TOTAL: n, ungrounded (actions not in the body), fabricated (parties not in it, whatever the case), abstained (no action), mean_score (of those above 0).
+
+    Rows have action, party, body, score; null and empty texts are none.
+    """
+    action, party = (F.coalesce(c, F.lit("")) for c in ("action", "party"))
+    out = rows.rollup(key).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if((action != "") & (F.instr("body", action) == 0)).alias("ungrounded"),
+        F.count_if((party != "") & (F.instr(F.lower("body"), F.lower(party)) == 0)).alias("fabricated"),
+        F.count_if(action == "").alias("abstained"),
+        F.round(F.avg(F.when(F.col("score") > 0, F.col("score"))), 6).alias("mean_score"),
+    )
+    return out.withColumn(key, F.coalesce(key, F.lit("TOTAL")))

@@ -87,13 +87,6 @@ def carry_forward(clauses: DataFrame) -> DataFrame:
     return clauses.withColumn("_label", label).withColumn("heading", F.concat_ws(" — ", before, "heading")).where(~F.col("_label")).drop("_label")
 
 
-def associate(obligations: DataFrame, deadlines: DataFrame, most: int = 350) -> DataFrame:
-    """For each obligation (clause_id, ord, at) the nearest deadline (clause_id, raw, pos) within ``most`` characters."""
-    near = obligations.join(deadlines, "clause_id").withColumn("distance", F.abs(F.col("pos") - F.col("at"))).where(F.col("distance") <= most)
-    best = near.groupBy("clause_id", "ord").agg(F.min_by("raw", F.struct("distance", "pos")).alias("raw"))
-    return obligations.join(best, ["clause_id", "ord"], "left")
-
-
 def alias_antecedent(triggers: DataFrame, entities: DataFrame, within: int = 200) -> DataFrame:
     """Triggers (doc_id, pos) with the entity (doc_id, start, end, name) that ends last before each.
 

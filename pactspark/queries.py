@@ -68,12 +68,6 @@ def _(v):
     return R.owned(v("tasks"), USER, v("contracts")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("get_owned", "SELECT id, user_id, filename FROM contracts WHERE id = 5 AND user_id = (SELECT user_id FROM contracts WHERE id = 5)")
-def _(v):
-    c = v("contracts").where("id = 5")
-    return c.join(c.select("user_id").distinct(), "user_id", "left_semi").select("id", "user_id", "filename")
-
-
 @query("tasks_filtered", f"SELECT {_TASK} FROM tasks WHERE priority = 'HIGH' AND due_date <= DATE '1998-12-31' AND due_date >= DATE '1995-01-01' AND NOT requires_review")
 def _(v):
     return R.tasks_filtered(v("tasks"), priority="HIGH", due_before=datetime.date(1998, 12, 31), due_after=datetime.date(1995, 1, 1), requires_review=False).select(*_COLUMNS)
@@ -128,12 +122,6 @@ def _(v):
     return v("lines").where(~F.col("heading").rlike(T.BOILERPLATE_HEADING)).select("id", "heading")
 
 
-@query("entity_noise", "SELECT id, part AS entity FROM (SELECT id, unnest(string_split(body, ' ')) AS part FROM lines) WHERE regexp_matches(part, '[0-9]') AND lower(part) NOT IN ('monthly', 'quarterly')")
-def _(v):
-    words = v("lines").select("id", F.explode(F.split("body", " ")).alias("entity"))
-    return words.where(F.col("entity").rlike("[0-9]") & ~F.lower("entity").isin("monthly", "quarterly"))
-
-
 @query("length_filter", "SELECT id FROM lines WHERE length(body) BETWEEN 50 AND 1500 AND length(body) - length(replace(body, '.', '')) <= 15 AND length(body) - length(replace(body, '_', '')) <= 5")
 def _(v):
     b = F.col("body")
@@ -198,14 +186,6 @@ def _(v):
     return v("lines").join(t, "id", "left").select("id", "body", F.coalesce("priority", F.lit("")).alias("priority"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("requires_review", F.lit(False)).alias("needs_review"))
 
 
-@query("resolve_action", """SELECT contract_id, clause_index, arg_min(body, (kind_rank, id)) AS action FROM (
-SELECT l.contract_id, l.clause_index, l.body, l.id, CASE WHEN t.obligation_type = 'OBLIGATION' THEN 0 ELSE 1 END AS kind_rank FROM lines l JOIN tasks t ON t.id = l.id) GROUP BY 1, 2""")
-def _(v):
-    both = v("lines").select("id", "contract_id", "clause_index", "body").join(v("tasks").select("id", "obligation_type"), "id")
-    rank = F.when(F.col("obligation_type") == "OBLIGATION", 0).otherwise(1)
-    return both.groupBy("contract_id", "clause_index").agg(F.min_by("body", F.struct(rank, "id")).alias("action"))
-
-
 @query("best_deadline", """SELECT contract_id, arg_min(id, (CASE upper(date_type) WHEN 'ABSOLUTE' THEN 0 WHEN 'RELATIVE' THEN 1 WHEN 'RECURRING' THEN 2 WHEN 'CONDITIONAL' THEN 3 ELSE 9 END, clause_index, id)) AS best
 FROM tasks GROUP BY contract_id""")
 def _(v):
@@ -214,21 +194,6 @@ def _(v):
     return v("tasks").groupBy("contract_id").agg(F.min_by("id", F.struct(rank, "clause_index", "id")).alias("best"))
 
 
-@query("associate_deadline", """SELECT contract_id, id, other AS nearest FROM (SELECT a.contract_id, a.id, b.id AS other,
-row_number() OVER (PARTITION BY a.id ORDER BY abs(a.n - b.n), b.id) AS r FROM lines a JOIN lines b ON a.contract_id = b.contract_id AND a.id <> b.id AND abs(a.n - b.n) <= 10) WHERE r = 1""")
-def _(v):
-    a = v("lines").select("contract_id", "id", "n")
-    b = a.select("contract_id", F.col("id").alias("other"), F.col("n").alias("m"))
-    near = a.join(b, "contract_id").where((F.col("id") != F.col("other")) & (F.abs(F.col("n") - F.col("m")) <= 10))
-    return near.groupBy("contract_id", "id").agg(F.min_by("other", F.struct(F.abs(F.col("n") - F.col("m")), "other")).alias("nearest"))
-
-
-@query("resolve_aliases", "SELECT id, coalesce(p.p_name, 'none') AS resolved_name, p.p_name IS NOT NULL AS is_alias FROM lines l LEFT JOIN part p ON p.p_partkey = l.n AND p.p_size < 25")
-def _(v):
-    known = v("part").where("p_size < 25").select(F.col("p_partkey").alias("n"), "p_name")
-    return v("lines").select("id", F.col("n").cast("long").alias("n")).join(known, "n", "left").select("id", F.coalesce("p_name", F.lit("none")).alias("resolved_name"), F.col("p_name").isNotNull().alias("is_alias"))
-
-
 @query("overlap_anti", """SELECT a.id FROM lines a WHERE a.n % 2 = 0 AND NOT EXISTS (SELECT 1 FROM lines b WHERE b.contract_id = a.contract_id AND b.n % 2 = 1
 AND a.n < b.n + 3 AND b.n < a.n + 3)""")
 def _(v):
@@ -236,12 +201,6 @@ def _(v):
     return S.overlap_anti(spans.where("start % 2 = 0"), spans.where("start % 2 = 1"), "contract_id").select("id")
 
 
-@query("label_collapse", "SELECT id, CASE WHEN regexp_matches(lower(body), 'invoice|pay') THEN 'PAYMENT' WHEN regexp_matches(lower(body), 'terminat|cancel') THEN 'TERMINATION' WHEN regexp_matches(lower(body), 'govern|law') THEN 'GOVERNING_LAW' ELSE 'ENTIRE_AGREEMENT' END AS label FROM lines")
-def _(v):
-    b = F.lower("body")
-    return v("lines").select("id", F.when(b.rlike("invoice|pay"), "PAYMENT").when(b.rlike("terminat|cancel"), "TERMINATION").when(b.rlike("govern|law"), "GOVERNING_LAW").otherwise("ENTIRE_AGREEMENT").alias("label"))
-
-
 # --- aggregates -----------------------------------------------------------------------------
 
 
@@ -293,42 +252,18 @@ def _(v):
     return gaps.select("contract_id", F.array_join(F.col("gaps").cast("array<string>"), ",").alias("missing"))
 
 
-@query("audit_segments", f"SELECT count(*) FILTER (length(body) < 40) AS short, count(*) FILTER ({_TOKENS} < 20) AS tiny, count(*) FILTER ({_TOKENS} > 25) AS huge, CAST(floor(sum({_TOKENS}) / count(*)) AS BIGINT) AS avg_tokens FROM lines")
-def _(v):
-    t = v("lines").select("body", T.token_count(F.col("body")).alias("t"))
-    return t.agg(F.count_if(F.length("body") < 40).alias("short"), F.count_if(F.col("t") < 20).alias("tiny"), F.count_if(F.col("t") > 25).alias("huge"), F.floor(F.sum("t") / F.count(F.lit(1))).alias("avg_tokens"))
-
-
-@query("grounding_report", "SELECT coalesce(clause_type, 'TOTAL') AS clause_type, count(*) AS n, count(*) FILTER (instr(body, 'shall') > 0) AS grounded FROM lines GROUP BY ROLLUP (clause_type)")
-def _(v):
-    out = v("lines").rollup("clause_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("body").contains("shall")).alias("grounded"))
-    return out.withColumn("clause_type", F.coalesce("clause_type", F.lit("TOTAL")))
-
-
 @query("rank_contracts", "SELECT contract_id, count(*) AS tasks, count(due_date) AS dated, count(*) FILTER (requires_review) AS review FROM tasks GROUP BY 1 ORDER BY dated DESC, tasks DESC, contract_id LIMIT 20")
 def _(v):
     t = v("tasks").groupBy("contract_id").agg(F.count(F.lit(1)).alias("tasks"), F.count("due_date").alias("dated"), F.count_if("requires_review").alias("review"))
     return t.orderBy(F.desc("dated"), F.desc("tasks"), "contract_id").limit(20)
 
 
-@query("avg_prob_vectors", "SELECT label, pos, round(avg(x), 6) AS p FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY 1, 2")
-def _(v):
-    each = v("embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x"))
-    return each.groupBy("label", F.col("pos").cast("long").alias("pos")).agg(F.round(F.avg("x"), 6).alias("p"))
-
-
 @query("top3_alternatives", "SELECT vec_id, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, pos) AS r FROM (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)) WHERE r <= 3 GROUP BY 1")
 def _(v):
     pairs = F.transform("embedding", lambda x, i: F.struct((-x).alias("x"), i.alias("i")))
     return v("embeddings").select("vec_id", F.array_join(F.transform(F.slice(F.array_sort(pairs), 1, 3), lambda p: p["i"].cast("string")), ",").alias("top"))
 
 
-@query("class_distribution", "SELECT clause_type, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM lines GROUP BY 1")
-def _(v):
-    n = v("lines").groupBy("clause_type").agg(F.count(F.lit(1)).alias("n"))
-    return n.crossJoin(n.agg(F.sum("n").alias("total"))).select("clause_type", "n", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("pct"))
-
-
 @query("class_weights", "SELECT clause_type, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)::DOUBLE), 6) AS weight FROM lines GROUP BY 1")
 def _(v):
     n = v("lines").groupBy("clause_type").agg(F.count(F.lit(1)).alias("n"))
@@ -399,11 +334,6 @@ def _(v):
     return v("tasks").withColumn("rank", R.priority_rank()).select("id", "rank", F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("rank_candidates", "SELECT id, contract_id FROM (SELECT *, row_number() OVER (PARTITION BY clause_type ORDER BY n DESC, id) AS r FROM lines) WHERE r = 1")
-def _(v):
-    return R.keep_first(v("lines"), ["clause_type"], [F.desc("n"), "id"]).select("id", "contract_id")
-
-
 @query("dedupe_first", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY lower(party), obligation_type, due_date ORDER BY id) AS r FROM tasks) WHERE r = 1")
 def _(v):
     return R.keep_first(v("tasks"), [F.lower("party"), "obligation_type", "due_date"], ["id"]).select("id")
@@ -424,13 +354,6 @@ def _(v):
     return R.keep_first(v("lines"), ["contract_id"], ["clause_index", "id"], 2).select("id")
 
 
-@query("governing_agent", "SELECT id, last_value(agent IGNORE NULLS) OVER (PARTITION BY contract_id ORDER BY clause_index, id ROWS UNBOUNDED PRECEDING) AS agent FROM (SELECT *, CASE WHEN heading LIKE 'ARTICLE%' THEN 'COMPANY' WHEN heading LIKE 'Section%' THEN 'BUYER' END AS agent FROM lines)")
-def _(v):
-    agent = F.when(F.col("heading").startswith("ARTICLE"), "COMPANY").when(F.col("heading").startswith("Section"), "BUYER")
-    w = W.partitionBy("contract_id").orderBy("clause_index", "id").rowsBetween(W.unboundedPreceding, 0)
-    return v("lines").select("id", F.last(agent, ignorenulls=True).over(w).alias("agent"))
-
-
 @query("anchor_date", "SELECT contract_id, arg_min(day, (clause_index, id)) AS anchor FROM lines WHERE clause_index < 5 GROUP BY 1")
 def _(v):
     return v("lines").where("clause_index < 5").groupBy("contract_id").agg(F.min_by("day", F.struct("clause_index", "id")).alias("anchor"))
@@ -582,24 +505,11 @@ def _(v):
     return v("documents").select("doc_id").join(v("labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("json_parse_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events WHERE json_valid(props)")
-def _(v):
-    return v("events").select("event_id", F.from_json("props", "k int").alias("p")).where("p IS NOT NULL").select("event_id", "p.k")
-
-
 @query("claim_pending", "SELECT id, CASE WHEN status IN ('PENDING', 'FAILED') THEN 'PROCESSING' ELSE status END AS status, CASE WHEN status IN ('PENDING', 'FAILED') THEN 0 ELSE progress_pct END AS progress_pct, status IN ('PENDING', 'FAILED') AS claimed FROM contracts")
 def _(v):
     return R.claim(v("contracts")).select("id", "status", "progress_pct", "claimed")
 
 
-@query("delete_cascade", f"SELECT 'contracts' AS part, count(*) AS n FROM contracts WHERE user_id <> {USER} UNION ALL SELECT 'tasks', count(*) FROM tasks WHERE contract_id NOT IN (SELECT id FROM contracts WHERE user_id = {USER}) UNION ALL SELECT 'reminders', count(*) FROM reminders WHERE contract_id NOT IN (SELECT id FROM contracts WHERE user_id = {USER})")
-def _(v):
-    ids = v("contracts").where(F.col("user_id") == USER).select("id")
-    left = R.delete_cascade(ids, v("contracts"), v("tasks"), v("reminders"))
-    out = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("part"), "n") for n, df in zip(("contracts", "tasks", "reminders"), left)]
-    return out[0].unionByName(out[1]).unionByName(out[2])
-
-
 @query("reminder_scan", f"SELECT DISTINCT task_id, days_before FROM reminders r WHERE remind_on <= DATE '{AS_OF}' AND NOT sent")
 def _(v):
     due = v("reminders").where(F.col("remind_on") <= F.lit(TODAY))
@@ -617,26 +527,11 @@ def _(v):
     return R.patch(v("tasks").select("id", "priority"), changes, "id", ["priority"])
 
 
-@query("curate", f"""WITH a AS (SELECT id, clause_type AS category, body AS text, row_number() OVER (PARTITION BY lower(left(body, 150)) ORDER BY id) AS r FROM lines),
-b AS (SELECT *, CASE WHEN regexp_matches(lower(text), '{T.MODALITY_PROHIBITION}') THEN 'PROHIBITION' WHEN regexp_matches(lower(text), '{T.MODALITY_PERMISSION}') THEN 'PERMISSION' WHEN regexp_matches(lower(text), '{T.MODALITY_OBLIGATION}') THEN 'OBLIGATION' ELSE 'DECLARATIVE' END AS modality FROM a WHERE r = 1 AND length(text) >= 80),
-c AS (SELECT *, row_number() OVER (PARTITION BY md5(trim(lower(text))) ORDER BY id) AS r2 FROM b),
-d AS (SELECT *, row_number() OVER (PARTITION BY category, modality ORDER BY id) AS r3 FROM c WHERE r2 = 1)
-SELECT id, category, modality FROM d WHERE r3 <= 50""")
-def _(v):
-    return C.curate(v("lines").select("id", F.col("clause_type").alias("category"), F.col("body").alias("text"))).select("id", "category", "modality")
-
-
 @query("grouped_split", "SELECT user_id, CASE WHEN p < 750 THEN 'train' WHEN p < 875 THEN 'val' ELSE 'test' END AS split FROM (SELECT DISTINCT user_id, CAST(concat('0x', left(md5(concat(CAST(user_id AS VARCHAR), ':42')), 8)) AS BIGINT) % 1000 AS p FROM contracts)")
 def _(v):
     return v("contracts").select("user_id").distinct().select("user_id", C.split_of(F.col("user_id")).alias("split"))
 
 
-@query("squad_examples", "SELECT id, field, CASE WHEN field = 'agent' THEN 0 ELSE 16 END AS answer_start FROM (SELECT id, unnest(['agent', 'action']) AS field FROM lines WHERE body LIKE 'The Buyer shall%')")
-def _(v):
-    rows = v("lines").select("id", F.col("body").alias("context"), T.estimate_modality(F.col("body")).alias("modality"), F.lit("the buyer").alias("agent"), F.lit("pay invoice").alias("action")).where("context LIKE 'The Buyer shall%'")
-    return C.squad_examples(rows).select("id", "field", "answer_start")
-
-
 @query("latest_progress", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")
 def _(v):
     return latest_progress(v("events"), "user_id", "event_type", "value")
@@ -652,4 +547,4 @@ def _(v):
     return R.keep_first(v("lines"), ["clause_type"], [F.md5("id"), "id"], 25).select("id")
 
 
-from pactspark import queries_text  # noqa: E402, F401  (registers its queries here)
+from pactspark import queries_contracts, queries_text  # noqa: E402, F401  (register their queries here)

@@ -261,12 +261,6 @@ def _(v):
     return kept.unionByName(new)
 
 
-@query("resolve_deadline_raw", "SELECT contract_id, clause_index, arg_min(id, (CASE WHEN date_type = 'ABSOLUTE' THEN 0 ELSE 1 END, CASE WHEN due_date IS NULL THEN 1 ELSE 0 END, id)) AS raw FROM tasks GROUP BY 1, 2")
-def _(v):
-    preferred = F.when(F.col("date_type") == "ABSOLUTE", 0).otherwise(1)
-    return v("tasks").groupBy("contract_id", "clause_index").agg(F.min_by("id", F.struct(preferred, F.col("due_date").isNull().cast("int"), "id")).alias("raw"))
-
-
 _LABELS = ["text", "Page_Header", "list_item", "section_header", "picture_1", "table", "footnote", "code"]
 
 

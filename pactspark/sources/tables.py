@@ -30,6 +30,11 @@ _BODIES = [
     "'The Agent is required to keep records for five (25) business days and Rs. 1,00,000 is payable to Acme Corp. (the \"Acme\").'",
 ]
 _HEADINGS = ["'11. Entire Agreement'", "'ARTICLE 5 - OBLIGATIONS OF THE COMPANY'", "'GOVERNING LAW'", "'Section 4.1 Payment Terms'", "'TABLE OF CONTENTS'", "'RECITALS'", "'2. the parties shall agree'", "'EXHIBIT A'", "'A. Term and Termination'"]
+_ITEMS = [
+    "'The Vendor shall perform the services as follows:'", "'5.1 To maintain all financial records of the program'", "'5.1.1 Acme Corp'", "'Acme Corp ● Complete and finalize the plan'",
+    "'• Provide monthly statements to the Buyer'", "'Books and records shall be kept at the principal office'", "'Payments will be made by the Company on demand'", "'short'",
+    "'The Licensee must not disclose the terms'", "'No duty is stated in this line at all'", "'2.3 NVOS'", "'NVOS - pay the fees of the auditor'", "'Each of the Parties shall contribute capital as follows:'", "'9.2 Assign and direct operational staff'",
+]
 _TYPES = ["'PAYMENT'", "'TERMINATION'", "'RENEWAL'", "'DELIVERY_OBLIGATIONS'", "'GOVERNING_LAW'", "'PREAMBLE'", "'CONFIDENTIALITY'", "'NO_WAIVER'", "'INDEMNIFICATION'"]
 
 
@@ -51,6 +56,11 @@ SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-'
        {_pick("(l_partkey + l_linenumber)", _BODIES)} AS body, {_pick("(l_suppkey + l_linenumber)", _HEADINGS)} AS heading,
        {_pick("(l_partkey + l_suppkey)", _TYPES)} AS clause_type, CAST(l_shipdate AS DATE) AS day, CAST(l_quantity AS INT) AS n
 FROM lineitem""",
+    "clause_texts": "SELECT contract_id AS clause_id, string_agg(body, ' ' ORDER BY clause_index, id) AS body FROM lines GROUP BY contract_id",
+    "provision_texts": "SELECT contract_id AS clause_id, string_agg(concat(heading, '. ', body), ' ' ORDER BY clause_index, id) AS body FROM lines GROUP BY contract_id",
+    "sentences": f"""
+SELECT contract_id AS clause_id, CAST(row_number() OVER (PARTITION BY contract_id ORDER BY clause_index, id) AS INT) AS sent_idx,
+       {_pick("(n * 5 + clause_index)", _ITEMS)} AS text, {_pick("contract_id", _HEADINGS)} AS heading FROM lines""",
     "tasks": """
 SELECT concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-',
               CAST(CAST(l_quantity AS BIGINT) AS STRING), '-', CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING)) AS id,
@@ -67,7 +77,7 @@ FROM lineitem""",
 SELECT id AS task_id, contract_id, o AS days_before, due_date - o AS remind_on, clause_index % 2 = 0 AS sent
 FROM tasks CROSS JOIN (SELECT 90 AS o UNION ALL SELECT 30 UNION ALL SELECT 7 UNION ALL SELECT 1) offsets WHERE due_date IS NOT NULL""",
 }
-_SPARK = {"due_date - o": "date_sub(due_date, o)"}
+_SPARK = {"due_date - o": "date_sub(due_date, o)", ", ' ' ORDER BY clause_index, id)": ", ' ') WITHIN GROUP (ORDER BY clause_index, id)"}
 
 
 def _needs(sql: str, among: tuple[str, ...]) -> list[str]:
