@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -19,11 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a temporary folder stands in.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary
+    folder stands in on one machine (master ``local[...]``); a cluster gets an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="pactspark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -34,15 +38,39 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
     Cuts the lineage so that lost executors cost no recomputation, and gives the
     optimiser the true size: it then broadcasts only what is under
-    ``spark.sql.autoBroadcastJoinThreshold``. The files go when the driver ends.
+    ``spark.sql.autoBroadcastJoinThreshold``. The files go by ``free``, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pactspark/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def free(*frames: DataFrame | None) -> None:
+    """Delete the files of frames that ``materialise`` returned and that nothing will read again."""
+    for df in frames:
+        if df is None or not (path := getattr(df, "scratch_path", None)):
+            continue
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are gone; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def free_prefix(df: DataFrame, start: str) -> str:
+    """``start``, with underscores added until no column's name begins with it (Spark doesn't tell cases apart)."""
+    while any(c.lower().startswith(start) for c in df.columns):
+        start += "_"
+    return start
 
 
 def split_remainder(doc_id: Column) -> Column:
@@ -65,7 +93,6 @@ def own_worker(owner: str, forget=None) -> None:
     remembers is dropped (its ``forget``), and free memory goes back to the system.
     """
     import ctypes
-    import gc
 
     import pyarrow as pa
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactspark.llm.common import DOCUMENT_COLUMNS, materialise, table
+from pactspark.llm.common import DOCUMENT_COLUMNS, free_prefix, materialise, table
 
 RATIO = 0.1
 MIN_PAGES = 5
@@ -44,16 +44,16 @@ def boilerplate(docs: DataFrame, host_col: str, text_col: str, ratio: float = RA
 
 def drop_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` without boilerplate lines, and ``n_lines`` and ``n_dropped`` (in place of columns of these names)."""
-    kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    listed = boilerplate(docs, host_col, text_col, ratio, min_pages).select(F.col("host").alias("_host"), F.col("lines").alias("_boilerplate"))
-    df = docs.join(listed, F.col(host_col).eqNullSafe(F.col("_host")), "left")
-    df = df.withColumn("_lines", F.expr(f"split(`{text_col}`, '\\n', -1)"))
-    stays = f"filter(_lines, x -> {_TRIMMED} = '' OR NOT array_contains(_boilerplate, unhex(md5({_TRIMMED}))))"
-    df = df.withColumn("_kept", F.when(F.col("_boilerplate").isNull(), F.col("_lines")).otherwise(F.expr(stays)))
-    df = df.withColumns({text_col: F.array_join("_kept", "\n"), "n_lines": F.coalesce(F.size("_lines"), F.lit(0)).cast("long")})
-    df = df.withColumn("n_lines", F.greatest("n_lines", F.lit(0).cast("long")))
-    df = df.withColumn("n_dropped", F.greatest(F.col("n_lines") - F.size("_kept"), F.lit(0).cast("long")))
-    return df.select(*[f"`{c}`" for c in kept], "n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_dropped")).cast("long").alias("n_dropped"))
+    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    p = free_prefix(docs, "_line")
+    listed = boilerplate(docs, host_col, text_col, ratio, min_pages).select(F.col("host").alias(f"{p}_host"), F.col("lines").alias(f"{p}_boilerplate"))
+    df = docs.join(listed, F.col(f"`{host_col}`").eqNullSafe(F.col(f"{p}_host")), "left")
+    df = df.withColumn(f"{p}_all", F.expr(f"split(`{text_col}`, '\\n', -1)"))
+    stays = f"filter({p}_all, x -> {_TRIMMED} = '' OR NOT array_contains({p}_boilerplate, unhex(md5({_TRIMMED}))))"
+    df = df.withColumn(f"{p}_kept", F.when(F.col(f"{p}_boilerplate").isNull(), F.col(f"{p}_all")).otherwise(F.expr(stays)))
+    size = lambda x: F.when(F.col(x).isNull(), 0).otherwise(F.size(x)).cast("long")
+    text = F.array_join(f"{p}_kept", "\n").alias(text_col)
+    return df.select(*[text if c == text_col else F.col(f"`{c}`") for c in kept], size(f"{p}_all").alias("n_lines"), (size(f"{p}_all") - size(f"{p}_kept")).alias("n_dropped"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,21 +64,23 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = rf"""
-WITH lines AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
-  FROM documents),
-keyed AS (SELECT doc_id, source, line, pos, trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS bare FROM lines),
+WITH docs AS (SELECT row_number() OVER () AS row_id, doc_id, source, text FROM documents),
+lines AS (
+  SELECT row_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM docs),
+keyed AS (SELECT row_id, source, line, pos, trim(line, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS bare FROM lines),
 often AS (
   SELECT c.source, c.bare FROM
-    (SELECT source, bare, count(DISTINCT doc_id) AS n FROM keyed WHERE bare != '' GROUP BY ALL) c
-    JOIN (SELECT source, count(*) AS pages FROM documents GROUP BY source) t ON c.source IS NOT DISTINCT FROM t.source
+    (SELECT source, bare, count(DISTINCT row_id) AS n FROM keyed WHERE bare != '' GROUP BY ALL) c
+    JOIN (SELECT source, count(*) AS pages FROM docs GROUP BY source) t ON c.source IS NOT DISTINCT FROM t.source
   WHERE n >= {MIN_PAGES} AND n > {RATIO}::DOUBLE * pages),
 marked AS (SELECT k.*, o.bare IS NOT NULL AS gone FROM keyed k LEFT JOIN often o ON k.source IS NOT DISTINCT FROM o.source AND k.bare = o.bare),
 texts AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  SELECT row_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
-  FROM marked GROUP BY doc_id)
-SELECT doc_id, n_lines, n_dropped, length(kept) AS kept_chars, md5(kept) AS kept_md5 FROM texts
+  FROM marked GROUP BY row_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, length(kept) AS kept_chars, md5(kept) AS kept_md5
+FROM docs LEFT JOIN texts USING (row_id)
 """
 
 

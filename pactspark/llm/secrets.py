@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactspark.llm.common import DOCUMENT_COLUMNS, table
+from pactspark.llm.common import DOCUMENT_COLUMNS, free_prefix, table
 
 ASSIGN = (
     r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -60,6 +60,8 @@ ALLOW_LIST = (
     r"^/?([a-z0-9_-]*[a-z][a-z0-9_-]*/)+[a-z0-9_-]*$",  # paths
 )
 _SCALE = 1_000_000
+#: Items of an array whose outputs are gathered at once.
+_BLOCK = 128
 _KINDS = ("assign", "access", "hex", *THRESHOLDS)
 
 
@@ -67,19 +69,29 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _scanned(items: str, at: str, out: str, kind: str) -> str:
+    """SQL for array<kind>: walks an array, ``a.at`` being a number carried along, ``x`` the item; ``at`` and ``out`` are its next value and the item's output.
+
+    Outputs are gathered in blocks of ``_BLOCK``, so a long array isn't copied for each of its items.
+    """
+    return f"""transform(array({items}), whole -> flatten(aggregate(
+        transform(sequence(1, greatest(1, cast(ceil(size(whole) / {_BLOCK}) as int))), b -> slice(whole, (b - 1) * {_BLOCK} + 1, {_BLOCK})),
+        named_struct('at', 0L, 'out', cast(array() as array<array<{kind}>>)),
+        (acc, block) -> transform(array(aggregate(block,
+            named_struct('at', acc.at, 'out', cast(array() as array<{kind}>)),
+            (a, x) -> named_struct('at', {at}, 'out', concat(a.out, array({out}))))),
+          done -> named_struct('at', done.at, 'out', concat(acc.out, array(done.out))))[0],
+        acc -> acc.out)))[0]"""
+
+
 def _located(text: str, pattern: str, kind: int) -> str:
     """SQL for array<struct<start, kind, end, hit>> of all matches, offsets from 0."""
     p = _quoted(pattern)
-    none = "cast(array() as array<struct<start: bigint, kind: int, `end`: bigint, hit: string>>)"
-    return f"""CASE WHEN {text} RLIKE {p} THEN aggregate(
-        zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (gap, hit) -> named_struct('gap', gap, 'hit', hit)),
-        named_struct('at', 0L, 'out', {none}),
-        (acc, x) -> named_struct(
-            'at', acc.at + length(x.gap) + coalesce(length(x.hit), 0),
-            'out', CASE WHEN x.hit IS NULL THEN acc.out ELSE concat(acc.out, array(named_struct(
-                'start', acc.at + length(x.gap), 'kind', {kind},
-                'end', acc.at + length(x.gap) + length(x.hit), 'hit', x.hit))) END),
-        acc -> acc.out) ELSE {none} END"""
+    slim = "struct<start: bigint, kind: int, `end`: bigint, hit: string>"
+    pieces = f"zip_with(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), (gap, hit) -> named_struct('gap', gap, 'hit', hit))"
+    found = f"cast(named_struct('start', a.at + length(x.gap), 'kind', {kind}, 'end', a.at + length(x.gap) + length(x.hit), 'hit', x.hit) as {slim})"
+    walked = _scanned(pieces, "a.at + length(x.gap) + coalesce(length(x.hit), 0)", found, slim)
+    return f"CASE WHEN {text} RLIKE {p} THEN filter({walked}, x -> x.hit IS NOT NULL) ELSE cast(array() as array<{slim}>) END"
 
 
 def _entropy_extent(hit: str, kind: str) -> str:
@@ -120,33 +132,34 @@ def find_spans(docs: DataFrame, text_col: str = "text", allow_list: tuple[str, .
     offsets are code points from 0, the end is exclusive. ``spans`` holds the base
     spans and those of the entropy layer.
     """
-    t = "_secret_text"
+    p = free_prefix(docs, "_secret")
+    t = f"{p}_text"
     slim = "struct<start: bigint, kind: int, `end`: bigint>"
     bare = lambda x: f"transform({x}, x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.`end`))"
     allowed = " OR ".join(f"x.hit RLIKE {_quoted(p)}" for p in allow_list) or "false"
     df = docs.withColumn(t, F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumns({
-        "_secret_assign": F.expr(f"filter({_located(t, ASSIGN, 0)}, x -> length(regexp_extract(x.hit, {_quoted(ASSIGN)}, 2)) >= 6)"),
-        "_secret_access": F.expr(_located(t, ACCESS, 1)),
-        "_secret_hex": F.expr(_located(t, HEX, 2)),
-        "_secret_cand": F.expr(f"filter({_located(t, CANDIDATE, 3)}, x -> x.hit RLIKE '[0-9]' AND NOT ({allowed}))"),
+        f"{p}_assign": F.expr(f"filter({_located(t, ASSIGN, 0)}, x -> length(regexp_extract(x.hit, {_quoted(ASSIGN)}, 2)) >= 6)"),
+        f"{p}_access": F.expr(_located(t, ACCESS, 1)),
+        f"{p}_hex": F.expr(_located(t, HEX, 2)),
+        f"{p}_cand": F.expr(f"filter({_located(t, CANDIDATE, 3)}, x -> x.hit RLIKE '[0-9]' AND NOT ({allowed}))"),
     })
     df = df.withColumn(
-        "_secret_entropy",
+        f"{p}_entropy",
         F.expr(
-            f"filter(transform(_secret_cand, x -> named_struct('x', x, 'w', {_entropy_extent('x.hit', _class('x.hit'))}, 'k', {_class('x.hit')})), z -> z.w.first >= 0)"
+            f"filter(transform({p}_cand, x -> named_struct('x', x, 'w', {_entropy_extent('x.hit', _class('x.hit'))}, 'k', {_class('x.hit')})), z -> z.w.first >= 0)"
         ),
     )
     # Candidates that are of one class as a whole are judged above.
-    whole = "exists(_secret_cand, c -> c.start = x.start AND c.`end` = x.`end` AND x.kind = k)".replace("= k)", f"= {_class('c.hit')})")
-    found = "concat(" + ", ".join(_located(t, p, k) for p, k in PIECES) + ")"
-    df = df.withColumn("_secret_piece", F.expr(f"filter({found}, x -> x.hit RLIKE '[0-9]' AND NOT ({allowed}))"))
-    df = df.withColumn("_secret_piece", F.expr(f"filter(filter(_secret_piece, x -> NOT {whole}), x -> {_entropy_extent('x.hit', 'x.kind')}.first >= 0)"))
-    base = f"concat({bare('_secret_assign')}, {bare('_secret_access')}, {bare('_secret_hex')})"
-    more = "transform(_secret_entropy, z -> named_struct('start', z.x.start + z.w.first, 'kind', z.k, 'end', z.x.start + z.w.last))"
+    whole = f"exists({p}_cand, c -> c.start = x.start AND c.`end` = x.`end` AND x.kind = k)".replace("= k)", f"= {_class('c.hit')})")
+    found = "concat(" + ", ".join(_located(t, x, k) for x, k in PIECES) + ")"
+    df = df.withColumn(f"{p}_piece", F.expr(f"filter({found}, x -> x.hit RLIKE '[0-9]' AND NOT ({allowed}))"))
+    df = df.withColumn(f"{p}_piece", F.expr(f"filter(filter({p}_piece, x -> NOT {whole}), x -> {_entropy_extent('x.hit', 'x.kind')}.first >= 0)"))
+    base = f"concat({bare(f'{p}_assign')}, {bare(f'{p}_access')}, {bare(f'{p}_hex')})"
+    more = f"transform({p}_entropy, z -> named_struct('start', z.x.start + z.w.first, 'kind', z.k, 'end', z.x.start + z.w.last))"
     df = df.withColumn(base_col, F.expr(f"array_sort(cast({base} as array<{slim}>))"))
-    df = df.withColumn(spans_col, F.expr(f"array_sort(concat(`{base_col}`, cast(array_distinct(concat({more}, {bare('_secret_piece')})) as array<{slim}>)))"))
-    return df.drop(t, "_secret_assign", "_secret_access", "_secret_hex", "_secret_cand", "_secret_entropy", "_secret_piece")
+    df = df.withColumn(spans_col, F.expr(f"array_sort(concat(`{base_col}`, cast(array_distinct(concat({more}, {bare(f'{p}_piece')})) as array<{slim}>)))"))
+    return df.drop(t, *[f"{p}_{x}" for x in ("assign", "access", "hex", "cand", "entropy", "piece")])
 
 
 def _joined(spans: str) -> Column:
@@ -157,13 +170,14 @@ def _joined(spans: str) -> Column:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[REDACTED]") -> DataFrame:
     """Replace every found span (overlapping ones as one) by ``mark``; a null text stays null."""
     kept = docs.columns
-    df = find_spans(docs, text_col, base_col="_secret_base", spans_col="_secret_spans")
-    t, m = f"`{text_col}`", _quoted(mark)
-    new = f"""CASE WHEN size(_secret_spans) = 0 THEN {t} ELSE aggregate(_secret_spans, named_struct('at', 0L, 'out', ''),
-        (acc, s) -> CASE WHEN s.`end` <= acc.at THEN acc ELSE named_struct('at', s.`end`, 'out',
-            CASE WHEN s.start < acc.at THEN acc.out
-                 ELSE concat(acc.out, substring({t}, cast(acc.at + 1 as int), cast(s.start - acc.at as int)), {m}) END) END,
-        acc -> concat(acc.out, substring({t}, cast(acc.at + 1 as int)))) END"""
+    p = free_prefix(docs, "_redact")
+    df = find_spans(docs, text_col, base_col=f"{p}_base", spans_col=f"{p}_spans")
+    t, m, spans = f"`{text_col}`", _quoted(mark), f"{p}_spans"
+    # What stands before a span and after all spans before it, and the mark; nothing for a span that begins in another one.
+    piece = f"CASE WHEN x.start < a.at THEN '' ELSE concat(substring({t}, cast(a.at + 1 as int), cast(x.start - a.at as int)), {m}) END"
+    pieces = _scanned(spans, "greatest(a.at, x.`end`)", piece, "string")
+    rest = f"substring({t}, cast(array_max(transform({spans}, s -> s.`end`)) + 1 as int))"
+    new = f"CASE WHEN size({spans}) = 0 THEN {t} ELSE concat(array_join({pieces}, ''), {rest}) END"
     return df.withColumn(text_col, F.expr(new)).select(*[f"`{c}`" for c in kept])
 
 
