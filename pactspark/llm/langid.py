@@ -27,39 +27,45 @@ from pactspark.llm.common import held_out, own_worker, table
 
 DIMENSIONS = 1024
 SEED = 20240613
-#: Letters of texts that are worked on at once; bounds the memory of a task.
-BLOCK = 1 << 19
+#: Letters of texts that are worked on at once (or one text), and different trigrams; they bound the memory of a task.
+BLOCK, SLICE = 1 << 19, 8_192
 
 
 def _letter_vector(code: int) -> np.ndarray:
     """+1/-1 by the bits of a counter-based generator that is keyed by the code point."""
     bits = np.random.Generator(np.random.Philox(key=[SEED, code])).integers(0, 2, DIMENSIONS, dtype=np.int8)
-    return (2 * bits - 1).astype(np.float32)
+    return 2 * bits - 1
 
 
 class _Letters:
-    """Letter ids and vectors, found as they occur; id 0 is the gap between words."""
+    """Letter ids and vectors (a byte a dimension), found as they occur; id 0 is the gap between words."""
 
     def __init__(self) -> None:
         self.id_of = np.full(0x110000, -1, np.int32)
-        self.codes = [0]
-        self.vectors = [_letter_vector(32)]
+        self.table = np.empty((256, DIMENSIONS), np.int8)
+        self.table[0], self.size = _letter_vector(32), 1
 
     def ids(self, points: np.ndarray) -> np.ndarray:
         out = self.id_of[points]
         if (out < 0).any():
             for c in np.unique(points[out < 0]):
                 if chr(c).isalpha():
-                    self.id_of[c] = len(self.vectors)
-                    self.vectors.append(_letter_vector(int(c)))
+                    if self.size == len(self.table):
+                        self.table = np.concatenate([self.table, np.empty_like(self.table)])
+                    self.table[self.size] = _letter_vector(int(c))
+                    self.id_of[c] = self.size
+                    self.size += 1
                 else:
                     self.id_of[c] = 0
             out = self.id_of[points]
         return out
 
     def trigram_vectors(self, trigrams: np.ndarray) -> np.ndarray:
-        v = np.array(self.vectors, np.float32)
-        return np.roll(v, 2, axis=1)[trigrams >> 42] * np.roll(v, 1, axis=1)[(trigrams >> 21) & 0x1FFFFF] * v[trigrams & 0x1FFFFF]
+        """Bound vectors: the letters', permuted by their places, multiplied."""
+        out = np.roll(self.table[trigrams >> 42], 2, axis=1)
+        out *= np.roll(self.table[(trigrams >> 21) & 0x1FFFFF], 1, axis=1)
+        out *= self.table[trigrams & 0x1FFFFF]
+        return out
 
 
 _LETTERS: list[_Letters] = []
@@ -85,8 +91,11 @@ def trigram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     return np.unique((ids[:-2] << 42) | (ids[1:-1] << 21) | ids[2:], return_counts=True)
 
 
-def _blocks(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Runs of texts: the indexes of those with letters, counts (texts x trigrams), the trigrams' vectors."""
+def _blocks(texts: list[str | None]) -> Iterator[tuple[list[int], Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Runs of texts: the indexes of those with letters, and in slices counts (texts x trigrams) with the trigrams' vectors.
+
+    A slice has up to ``SLICE`` trigrams, so a text with very many different ones takes no more memory than others.
+    """
     at = 0
     while at < len(texts):
         kept, found, letters = [], [], 0
@@ -97,11 +106,26 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np
                 letters += len(texts[at])
             at += 1
         if kept:
-            every, where = np.unique(np.concatenate([t for t, _ in found]), return_inverse=True)
-            counts = np.zeros((len(kept), len(every)), np.float32)
-            row = np.repeat(np.arange(len(kept)), [len(t) for t, _ in found])
-            counts[row, where] = np.concatenate([n for _, n in found])
-            yield kept, counts, _letters().trigram_vectors(every)
+            yield kept, _slices(found)
+
+
+def _slices(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    every = np.unique(np.concatenate([t for t, _ in found]))
+    for i in range(0, len(every), SLICE):
+        part = every[i : i + SLICE]
+        counts = np.zeros((len(found), len(part)), np.float32)
+        for row, (trigrams, n) in enumerate(found):
+            a, b = np.searchsorted(trigrams, (part[0], part[-1] + 1))
+            counts[row, np.searchsorted(part, trigrams[a:b])] = n[a:b]
+        yield counts, _letters().trigram_vectors(part)
+
+
+def bundles(slices: Iterator[tuple[np.ndarray, np.ndarray]], dtype: type = np.float32) -> np.ndarray:
+    """Texts x dimensions: the sum of each text's trigram vectors."""
+    total = 0
+    for counts, vectors in slices:
+        total = total + counts.astype(dtype) @ vectors.astype(dtype)
+    return total
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
@@ -112,10 +136,13 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> di
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs, texts = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for kept, counts, vectors in _blocks(texts):
+            for kept, slices in _blocks(texts):
+                # Texts of a language are added up before they are bundled.
                 of = np.array([langs[i] for i in kept], object)
-                for lang in set(of):
-                    sums[lang] = sums.get(lang, 0) + (counts[of == lang].sum(0, dtype=np.float64) @ vectors.astype(np.float64))
+                names = sorted(set(of))
+                member = np.array([of == lang for lang in names], np.float64)
+                for lang, v in zip(names, bundles(((member @ counts, vectors) for counts, vectors in slices), np.float64)):
+                    sums[lang] = sums.get(lang, 0) + v
         for lang, v in sums.items():
             yield pa.record_batch([pa.array([lang] * DIMENSIONS), pa.array(np.arange(DIMENSIONS, dtype=np.int32)), pa.array(np.rint(v).astype(np.int64))], ["lang", "dim", "value"])
 
@@ -137,8 +164,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            for kept, counts, vectors in _blocks(texts) if names else ():
-                bundle = counts @ vectors
+            for kept, slices in _blocks(texts) if names else ():
+                bundle = bundles(slices)
                 near = (bundle @ matrix) / np.maximum(np.linalg.norm(bundle, axis=1), 1e-9)[:, None]
                 best = near.argmax(1)
                 for i, b, s in zip(kept, best, near.max(1)):
