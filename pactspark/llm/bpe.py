@@ -140,6 +140,10 @@ class Codec:
             ids = self.encode_run(run)
             known[run] = (struct.pack(f"<{len(ids)}I", *ids), b"%d," * len(ids) % tuple(ids))
 
+    def count(self, text: str | None) -> int:
+        """How many ids the text has."""
+        return len(self.encode(text)[0])
+
     def encode(self, text: str | None) -> tuple[np.ndarray, bytes]:
         """Ids as an array, and in decimal with a comma after each."""
         if len(self.known) > self.remember:
@@ -159,7 +163,8 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def _forget() -> None:
+def forget() -> None:
+    """Drop what this worker remembers."""
     _CODECS.clear()
 
 
@@ -174,7 +179,7 @@ def encode_documents(docs: DataFrame, path: str, keep_ids: bool = False) -> Data
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array<int>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_worker("bpe", _forget)
+        own_worker("bpe", forget)
         own = codec(path)
         for batch in batches:
             ids, counts, sums, backs, lists = batch.column("doc_id").to_pylist(), [], [], [], []
@@ -199,7 +204,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, text from doc_id, ids (null ids: null text; bytes that aren't UTF-8 become U+FFFD)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_worker("bpe", _forget)
+        own_worker("bpe", forget)
         own = codec(path)
         for batch in batches:
             made = [None if x is None else own.decode(np.array(x, "<u4")).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]

@@ -19,5 +19,4 @@ QUERIES = {
 
 SQL = {
     "op7_line_dedup": line_dedup.OP7_SQL,
-    "op8_token_counts": token_counts.OP8_SQL,
 }
