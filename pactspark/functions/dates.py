@@ -54,12 +54,17 @@ DATE_FORMATS = ("yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "MM/
 
 def deadline_label(text: Column, clause_type: Column) -> Column:
     """First label whose words occur, else the clause type's, else a general one."""
-    out = None
-    for label, pattern in LABELS.items():
-        test = text.rlike(rf"(?i)\b(?:{pattern})\b")
-        out = F.when(test, label) if out is None else out.when(test, label)
     pairs = [F.lit(x) for kv in LABEL_OF_TYPE.items() for x in kv]
-    return out.otherwise(F.coalesce(F.try_element_at(F.create_map(*pairs), F.upper(clause_type)), F.lit("Contractual Deadline")))
+    other = F.coalesce(F.try_element_at(F.create_map(*pairs), F.upper(clause_type)), F.lit("Contractual Deadline"))
+
+    def first(low: Column) -> Column:
+        # Most texts are settled by one test of all words; only the others go through the labels in order.
+        out = F.when(~F.coalesce(low.rlike(rf"\b(?:{'|'.join(LABELS.values())})\b"), F.lit(False)), other)
+        for label, pattern in LABELS.items():
+            out = out.when(low.rlike(rf"\b(?:{pattern})\b"), label)
+        return out
+
+    return F.get(F.transform(F.array(F.lower(text)), first), 0)
 
 
 def event_relative(duration: Column, body: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pactspark.functions import labels as L
 from pactspark.functions import parties as P
 from pactspark.functions import text as T
+from pactspark import streaming as X
+from pactspark.operators import entities as E
 from pactspark.operators import obligations as O  # noqa: E741
 from pactspark.operators import provisions as V
 from pactspark.operators import relational as R
@@ -433,3 +435,52 @@ def _(v):
 @query("distinct_paths", "SELECT DISTINCT filename FROM contracts WHERE user_id % 2 = 0")
 def _(v):
     return v("contracts").where("user_id % 2 = 0").select("filename").distinct()
+
+
+# --- progress, entities ------------------------------------------------------------------------
+
+_STAGE_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in (X.STAGE_PROGRESS | {"complete": 100}).items()) + " END"
+_STAGE = "CASE event_id % 10 WHEN 0 THEN 'extract' WHEN 1 THEN 'segment' WHEN 2 THEN 'classify' WHEN 3 THEN 'ner' WHEN 4 THEN 'obligations' WHEN 5 THEN 'normalize_dates' WHEN 6 THEN 'generate_tasks' WHEN 7 THEN 'complete' WHEN 8 THEN 'other' END"
+
+
+@query("progress_events", f"SELECT user_id AS contract_id, event_type AS stage, {_STAGE_SQL} AS progress_pct, CASE event_type WHEN 'complete' THEN 'COMPLETE' ELSE 'PROCESSING' END AS status FROM (SELECT user_id, {_STAGE} AS event_type FROM events) WHERE {_STAGE_SQL} IS NOT NULL")
+def _(v):
+    return X.progress_events(v("events").select(F.col("user_id").alias("contract_id"), F.expr(_STAGE).alias("stage")))
+
+
+@query("progress_until_terminal", """WITH e AS (SELECT event_id, user_id, CASE event_id % 9 WHEN 0 THEN 'COMPLETE' WHEN 1 THEN 'FAILED' ELSE 'PROCESSING' END AS status, ts FROM events),
+f AS (SELECT user_id, min((ts, event_id)) AS stop FROM e WHERE status <> 'PROCESSING' GROUP BY 1)
+SELECT e.event_id, e.user_id, e.status FROM e LEFT JOIN f ON f.user_id = e.user_id WHERE f.stop IS NULL OR (e.ts, e.event_id) <= f.stop""")
+def _(v):
+    status = F.when(F.col("event_id") % 9 == 0, "COMPLETE").when(F.col("event_id") % 9 == 1, "FAILED").otherwise("PROCESSING")
+    return X.until_terminal(v("events").withColumn("status", status), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "status")
+
+
+@query("consume_tokens", "SELECT event_id, coalesce(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 3 DAY, true) AS accepted FROM events")
+def _(v):
+    return X.consume(v("events"), "user_id", "ts", "event_id", "3 days").select("event_id", "accepted")
+
+
+_TEXT = "concat('On ', strftime(day, '%Y-%m-%d'), ' the Buyer shall pay $', n, ',000 or ', n, '.5% within ', n, ' business days to ACME corp.')"
+_TEXT_SPARK = "concat('On ', date_format(day, 'yyyy-MM-dd'), ' the Buyer shall pay $', n, ',000 or ', n, '.5% within ', n, ' business days to ACME corp.')"
+
+
+@query("rule_entities", f"""WITH t AS (SELECT id, {_TEXT} AS body, strftime(day, '%Y-%m-%d') AS d, n FROM lines),
+e AS (SELECT id, body, unnest([d, concat('$', n, ',000'), concat(n, '.5%'), concat(n, ' business days')]) AS text, unnest(['DATE', 'MONEY', 'PERCENTAGE', 'DURATION']) AS label FROM t)
+SELECT id, label, text, CAST(instr(body, CASE label WHEN 'PERCENTAGE' THEN concat('or ', text) WHEN 'DURATION' THEN concat('within ', text) ELSE text END) - 1 + CASE label WHEN 'PERCENTAGE' THEN 3 WHEN 'DURATION' THEN 7 ELSE 0 END AS INT) AS start FROM e""")
+def _(v):
+    rows = v("lines").select("id", F.expr(_TEXT_SPARK).alias("body"))
+    return rows.select("id", F.explode(E.rule_entities(F.col("body"))).alias("e")).select("id", "e.label", "e.text", "e.start")
+
+
+@query("phrase_entities", f"""WITH t AS (SELECT id, {_TEXT} AS body FROM lines) SELECT id, unnest(['Buyer', 'ACME corp']) AS text, CAST(unnest([instr(body, 'Buyer') - 1, instr(body, 'ACME corp') - 1]) AS INT) AS start FROM t""")
+def _(v):
+    rows = v("lines").select("id", F.expr(_TEXT_SPARK).alias("body"))
+    return rows.select("id", F.explode(E.phrase_entities(F.col("body"), _parties(("Acme", "Acme Corp", "buyer", "Zeta")))).alias("e")).select("id", "e.text", "e.start")
+
+
+@query("relations", f"""WITH t AS (SELECT id, {_TEXT} AS body FROM lines WHERE n % 2 = 0) SELECT id, 'Buyer' AS subject, 'shall' AS modal, 'pay' AS verb, regexp_extract(body, 'pay ([^.;]+)', 1) AS object FROM t""")
+def _(v):
+    text = F.when(F.col("n") % 2 == 0, F.expr(_TEXT_SPARK)).otherwise("No party is here, and it must be so.")
+    rows = v("lines").select("id", text.alias("text"))
+    return E.relations(rows.withColumn("entities", E.phrase_entities(F.col("text"), _parties(("buyer",)))))

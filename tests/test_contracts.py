@@ -292,3 +292,25 @@ def test_resolve(spark):
     tasks = rows(spark, [(1, 1, "A", "do this now"), (2, 1, "Z", "do that"), (3, 2, "A", "x"), (4, 3, None, "x")], "id int, clause_id int, kind string, source_text string")
     found = rows(spark, [(1, 1, "A", "else"), (1, 2, "A", "this"), (1, 3, "B", "do that"), (1, 0, "B", " "), (2, 1, "A", ""), (3, 1, None, "n")], "clause_id int, ord int, kind string, found string")
     assert {r.id: r.found for r in R.resolve(tasks, found).collect()} == {1: "this", 2: "do that", 3: None, 4: "n"}
+
+
+def test_entities(spark):
+    from pactspark.operators import entities as E
+
+    text = "ACME Corp and acme met on May 5, 2011; Acme Corporation owes $1,000 and 5 percent within thirty (30) days."
+    df = rows(spark, [(1, text, ["Acme", "acme corp", "x.*", ""]), (2, None, ["a"]), (3, "", None)], "id int, t string, names array<string>")
+    got = {r.id: r for r in df.select("id", E.rule_entities(F.col("t")).alias("e"), E.phrase_entities(F.col("t"), F.col("names")).alias("p")).collect()}
+    assert [(e.label, e.text) for e in got[1].e] == [("DATE", "May 5, 2011"), ("MONEY", "$1,000"), ("PERCENTAGE", "5 percent"), ("DURATION", "thirty (30) days")]
+    assert [(e.text, e.start) for e in got[1].p] == [(text[a:b], a) for a, b in ((0, 9), (14, 18), (39, 48))]
+    assert all(text[e.start : e.end] == e.text for e in [*got[1].e, *got[1].p])
+    assert got[2].e == got[2].p == got[3].e == got[3].p == []
+
+
+def test_streamed_progress(spark, tmp_path):
+    from pactspark import streaming as X
+
+    rows(spark, [(1, "extract"), (1, "complete"), (2, "odd"), (3, None)], "contract_id int, stage string").write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("contract_id int, stage string").json(str(tmp_path / "in"))
+    for _ in range(2):  # the second run finds nothing new
+        X.publish(X.progress_events(stream), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert sorted((r.progress_pct, r.status) for r in spark.read.json(str(tmp_path / "out")).collect()) == [(5, "PROCESSING"), (100, "COMPLETE")]
