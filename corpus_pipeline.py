@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages; each reads all that its predecessor kept."""
+"""A corpus pipeline of five stages; each reads all that its predecessor kept.
+
+Stages take and return the columns of ``documents`` (doc_id, text, lang, source, n_chars) and drop any
+others; n_chars is brought up to date where a stage changes texts. The last returns the pieces of
+``packing.pack``. Null ids and texts go through all stages; empty tables give no rows.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +20,7 @@ STAGES = [
     ("packing", packing.stage),
 ]
 
-#: Segment search, Order MinHash and tokenising are beyond SQL; tests hold run() against a plain version.
+#: Segment search, Order MinHash and tokenising are beyond SQL; tests/llm/test_plain.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
