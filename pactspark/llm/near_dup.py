@@ -10,19 +10,30 @@ of 0.117 or more (40 words; 0.13 in long texts), so a pair misses all buckets wi
 probability below 1e-6, as long as the shared labelled words stand in the same order. An
 edit of a word that occurs more often shifts the labels of its later occurrences, which can
 break that order: for such pairs the bound isn't exact. Texts under ``SHORT`` words
-take only ``TAKE_SHORT`` words, as few edits leave them fewer in common; texts that can
-be linked to both kinds have the sketches of both.
+take only ``TAKE_SHORT`` words, as few edits leave them fewer in common. Texts of ``LONG``
+words or more are sketched by pairs of neighbouring words, as long texts of one language share
+many labelled words by chance: linked ones hold at least three sevenths of their labelled
+pairs in common (an edit changes two pairs at most: 0.6 n of 1.4 n), a sketch of
+``TAKE_LONG`` then agrees with a chance of 0.078, and all ``BANDS_LONG`` miss with one below 1e-6 again.
+Texts that can be linked to another kind have the sketches of both.
 
 Candidates are not all pairs of a bucket. Round one verifies every member against
 the bucket's least id (a star, linear in the bucket's size) if their bags of words
-allow a link (as below), the least of these leaders first, then those with which it isn't connected by then. Round two is for members that
-stay apart from a leader: they meet the bucket's other members with which they aren't
-connected either, if their bags of words allow it: two texts are at least as many
-edits apart as the longer has words beyond those that both hold, and counts of words by
-``SLOTS`` hash values bound that number from above, so no link is lost. Texts that share
-a phrase and little else, however often they repeat it, are sorted out here without
-reading them. Verification is an exact alignment of all words of both texts: a pair is
-linked if edit distance <= 0.2 x the longer length. Connected links are classes.
+allow a link (as below), the least of these leaders first, then those with which it isn't
+connected by then. Round two is for members that stay apart from a leader: they meet
+the bucket's other members with which they aren't connected either. For that the texts
+of such buckets are dealt anew by their rarest labelled words (prefix filter): of two
+linked texts the longer has at most a fifth of its words beyond those that both hold, so of
+either's labelled words, in one order for all texts, the first fifth and one more hold a
+word of the other's first fifth and one more. The order is by frequency in these texts, so a
+phrase that many of them share makes no pairs, and no link is lost however large a bucket
+is. A mask of each text's buckets sorts out most pairs that share none.
+
+Two texts are at least as many edits apart as the longer has words beyond those that
+both hold, and counts of labelled words by hash bound that number from above: pairs
+which that rules out are sorted out without reading the texts. Verification is an exact
+alignment of all words of both texts: a pair is linked if edit distance <= 0.2 x the
+longer length. Connected links are classes.
 
 Exact copies are grouped by digest first; one text per digest enters all that.
 
@@ -41,20 +52,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pactspark.llm.common import DOCUMENT_COLUMNS, materialise, own_worker, table
+from pactspark.llm.common import DOCUMENT_COLUMNS, clean_shuffles, free, materialise, own_worker, table
 
 SIMILARITY = 0.8
 TAKE, BANDS = 5, 112
 #: Texts of fewer words are sketched by ``TAKE_SHORT`` words.
 SHORT, TAKE_SHORT = 40, 3
-#: Counts that stand for a text's bag of words.
-SLOTS = 512
-#: Buckets of up to so many texts make their pairs before the bags are read.
-FEW = 64
+#: Texts of so many words are sketched by ``TAKE_LONG`` pairs of words.
+LONG, TAKE_LONG, BANDS_LONG = 400, 3, 176
+#: Least and usual most number of counts that stand for a text's bag of words: twice as many as it has words, in between.
+SLOTS = 64, 16_384
+#: Counts (by hash of a labelled word) that put words in order of frequency; which order it is changes the work, not the result.
+RANKS = 1 << 20
 #: Up to so many ids (16 bytes each) are broadcast to pick texts from a scan; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 _RNG = np.random.Generator(np.random.Philox(key=[7, 5]))
-_FACTORS = _RNG.integers(0, 1 << 31, BANDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FACTORS = _RNG.integers(0, 1 << 31, max(BANDS, BANDS_LONG), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(29)
 
@@ -92,23 +105,44 @@ def _occurrences(hashes: np.ndarray) -> np.ndarray:
     return occurrence
 
 
-def bag(hashes: np.ndarray) -> np.ndarray:
-    """How many words fall into each of ``SLOTS`` slots."""
-    return np.bincount((hashes % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS).astype(np.int32)
+def labelled_words(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of the words, each with how often it occurred before."""
+    return _mixed(_mixed(hashes) * _MIX + _occurrences(hashes) * _MIX)
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """The band keys (signed 64 bits) of a text whose words have these hashes; none without words."""
-    n = len(hashes)
-    if not n:
-        return np.empty(0, np.int64)
-    takes = [t for t, fits in ((TAKE_SHORT, n * SIMILARITY < SHORT), (TAKE, n >= SHORT)) if fits]
-    words = _mixed(hashes)
-    labelled = (_mixed(words * _MIX + _occurrences(hashes) * _MIX) >> np.uint64(32)).astype(np.uint32)
-    keys = np.empty((len(takes), BANDS), np.uint64)
+def bag(labelled: np.ndarray) -> bytes | None:
+    """How many labelled words fall into each of a power of two of slots, a byte each; None if that is too few bits."""
+    n = len(labelled)
+    slots = 1 << (max(SLOTS[0], min(2 * n, max(SLOTS[1], n // 32))) - 1).bit_length()
+    counts = np.bincount((labelled & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def most_shared(a: bytes | None, b: bytes | None) -> float:
+    """A bound from above of how many labelled words two texts share, by their bags."""
+    if a is None or b is None:
+        return float("inf")
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    if len(x) < len(y):
+        y = y.reshape(-1, len(x)).sum(0)
+    return float(np.minimum(x, y).sum(dtype=np.int64))
+
+
+def prefix(labelled: np.ndarray, frequency: np.ndarray) -> np.ndarray:
+    """The rarest labelled words of a text, rarest first: all but as many as any linked text shares, and one more."""
+    n = len(labelled)
+    spare = int(n * (1 - SIMILARITY) + 1e-9)
+    return labelled[np.lexsort((labelled, frequency[labelled & np.uint64(RANKS - 1)]))[: spare + 1]]
+
+
+def _sketches(words: np.ndarray, labelled: np.ndarray, takes: list[int], bands: int, kind: int) -> np.ndarray:
+    """The keys of ``bands`` sketches for each of ``takes``: of the (labelled) words of least rank, in text order."""
+    n = len(words)
+    high = (labelled >> np.uint64(32)).astype(np.uint32)
+    keys = np.empty((len(takes), bands), np.uint64)
     step = max(1, (1 << 18) // n)
-    for s in range(0, BANDS, step):
-        rank = _FACTORS[s : s + step, None] * labelled[None, :]
+    for s in range(0, bands, step):
+        rank = _FACTORS[s : min(s + step, bands), None] * high[None, :]
         row = np.arange(len(rank))
         taken = []
         for _ in range(min(takes[-1], n)):
@@ -116,13 +150,28 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
             taken.append(best)
             rank[row, best] = 0xFFFFFFFF
         for i, take in enumerate(takes):
-            key = np.arange(s, s + len(rank), dtype=np.uint64) + np.uint64(1 + take * BANDS)
+            key = np.arange(s, s + len(rank), dtype=np.uint64) + np.uint64(1 + (kind + take) * max(BANDS, BANDS_LONG))
             for p in np.sort(np.array(taken[:take]), axis=0):
                 key = _mixed(key * _MIX + words[p])
-            keys[i, s : s + step] = key
+            keys[i, s : s + len(rank)] = key
     return keys.reshape(-1).view(np.int64)
 
 
+def band_keys(hashes: np.ndarray, labelled: np.ndarray) -> np.ndarray:
+    """The band keys (signed 64 bits) of a text whose words have these hashes; none without words."""
+    n = len(hashes)
+    if not n:
+        return np.empty(0, np.int64)
+    words, found = _mixed(hashes), []
+    takes = [t for t, fits in ((TAKE_SHORT, n * SIMILARITY < SHORT), (TAKE, n >= SHORT and n * SIMILARITY < LONG)) if fits]
+    if takes:
+        found.append(_sketches(words, labelled, takes, BANDS, 0))
+    if n >= LONG:
+        pairs = _mixed(words[:-1] * _MIX + words[1:])
+        found.append(_sketches(pairs, labelled_words(pairs), [TAKE_LONG], BANDS_LONG, 100))
+    return np.concatenate(found)
+
+
 def _run_length(a: np.ndarray, b: np.ndarray) -> int:
     """How many leading elements agree."""
     n, at, step = min(len(a), len(b)), 0, 32
@@ -203,33 +252,65 @@ def near(a: str, b: str, similarity: float = SIMILARITY) -> bool:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (of the whole text), n_words, bands, bag."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("bands", pa.list_(pa.int64())), ("bag", pa.list_(pa.int32()))])
+    """node, n_words, bands, bag of (doc_id, text)."""
+    schema = pa.schema([("node", pa.int64()), ("n_words", pa.int64()), ("bands", pa.list_(pa.int64())), ("bag", pa.binary())])
     words = _Words()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("near_dup")
         for batch in batches:
-            digests, counts, bands, bags = [], [], [], []
+            counts, bands, bags = [], [], []
             for text in batch.column("text"):
-                text = text.as_py() or ""
-                hashes = words.hashes(text.lower().split())
-                digests.append(xxhash.xxh3_128_digest(text.encode()))
+                hashes = words.hashes((text.as_py() or "").lower().split())
                 counts.append(len(hashes))
-                bands.append(band_keys(hashes))
-                bags.append(bag(hashes))
-            made = [pa.array(digests, pa.binary()), pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bags, pa.list_(pa.int32()))]
+                labelled = labelled_words(hashes)
+                bands.append(band_keys(hashes, labelled))
+                bags.append(bag(labelled))
+            made = [pa.array(counts, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(bags, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, n_words long, bands array<long>, bag array<int>")
+    return docs.mapInArrow(run, "node long, n_words long, bands array<long>, bag binary")
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast if it has up to ``BROADCAST_IDS``."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def rare_words(docs: DataFrame) -> DataFrame:
+    """(word, place, node): the ``prefix`` of each of (doc_id, text), words ranked by their counts in these texts."""
+    words = _Words()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("near_dup")
+        total = np.zeros(RANKS, np.int64)
+        for batch in batches:
+            for text in batch.column("text"):
+                at, n = np.unique(labelled_words(words.hashes((text.as_py() or "").lower().split())) & np.uint64(RANKS - 1), return_counts=True)
+                total[at.astype(np.int64)] += n
+        slots = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), pa.array(total[slots])], ["slot", "n"])
+
+    counts = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # RANKS rows at most
+    frequency = np.zeros(RANKS, np.int32)
+    frequency[counts.column("slot").to_numpy()] = np.minimum(counts.column("n").to_numpy(), np.iinfo(np.int32).max)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("near_dup")
+        for batch in batches:
+            for node, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                hashes = words.hashes((text.as_py() or "").lower().split())
+                if len(hashes):
+                    found = prefix(labelled_words(hashes), frequency)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.arange(len(found))), pa.array(np.full(len(found), node))], ["word", "place", "node"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "word long, place long, node long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, linked) of candidate pairs; ``docs`` has doc_id and text."""
+    """(a, b, linked) of candidate pairs, written; ``docs`` has doc_id and text."""
     ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = docs.join(ids, "doc_id", "left_semi")
+    texts = docs.join(_bounded(ids), "doc_id", "left_semi")
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
 
@@ -239,13 +320,16 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             linked = [near(x.as_py() or "", y.as_py() or "") for x, y in zip(batch.column("left"), batch.column("right"))]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long, linked boolean")
+    outcome = materialise(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long, linked boolean"), "near-outcome")
+    free(ids)
+    return outcome
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node that each node of the edges (a, b) is connected with.
 
-    Large-star and small-star in turns; each round is written to the shared folder.
+    Large-star and small-star in turns; each round is written to the shared folder, and
+    the round before it deleted.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "cc")
     mark = None
@@ -255,7 +339,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").selectExpr("v AS u", "m AS v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").selectExpr("v AS u", "m AS v").unionByName(low.selectExpr("u", "m AS v")).distinct()
-        now = materialise(small, "cc")
+        before, now = now, materialise(small, "cc")
+        free(before)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             return now.selectExpr("u AS node", "v AS label").unionByName(now.selectExpr("v AS node", "v AS label").distinct())
@@ -278,34 +363,58 @@ def _lengths_fit(a: str, b: str) -> Column:
     return F.least(a, b) >= _least_shared(F.greatest(a, b))
 
 
-def _bags_fit(longer: Column | str) -> Column:
-    """Whether ``bag`` and ``other_bag`` allow a link; no link is lost."""
-    return F.expr("aggregate(zip_with(bag, other_bag, (x, y) -> least(x, y)), 0, (n, x) -> n + x)") >= _least_shared(longer)
+def possible(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b), written, of the distinct (a, b) whose lengths and bags (of ``signed``: node, n_words, bag) allow a link; no link is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("near_dup")
+        for batch in batches:
+            least = batch.column("least").to_pylist()
+            fits = [most_shared(x.as_py(), y.as_py()) >= n for n, x, y in zip(least, batch.column("bag"), batch.column("other_bag"))]
+            yield batch.select(["a", "b"]).filter(pa.array(fits, pa.bool_()))
+
+    left = signed.selectExpr("node AS a", "n_words", "bag")
+    right = signed.selectExpr("node AS b", "n_words AS other_words", "bag AS other_bag")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").where(_lengths_fit("n_words", "other_words"))
+    least = _least_shared(F.greatest("n_words", "other_words")).cast("long").alias("least")
+    tried = both.select("a", "b", least, "bag", "other_bag").mapInArrow(run, "a long, b long")
+    return materialise(tried.distinct(), "near-possible")
+
+
+def _copies(known: DataFrame) -> DataFrame:
+    """(doc_id, node), distinct and written: the least id of each document's text. Null texts count as empty."""
+    digests = known.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"))
+    groups = materialise(digests.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "near-copies")
+    member = materialise(digests.join(groups, "digest", "left").select("doc_id", F.coalesce("node", "doc_id").alias("node")).distinct(), "near-members")
+    free(groups)
+    return member
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the least id of its class): one row for each id of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where("doc_id IS NOT NULL")
-    signed = materialise(signatures(known), "near-signatures")
-    groups = signed.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n_words").alias("n_words"))
-    member = signed.select("doc_id", "digest").join(groups.select("digest", "node"), "digest").select("doc_id", "node")
-    member = materialise(member.distinct(), "near-members")
-    nodes = member.select("node").distinct()
-    buckets = materialise(
-        signed.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("node"), "n_words", F.explode("bands").alias("key")),
-        "near-buckets",
-    )
-    leaders = buckets.groupBy("key").agg(F.min(F.struct("node", "n_words")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    leaders = leaders.select("key", F.col("least.node").alias("leader"), F.col("least.n_words").alias("leader_words"), "n")
+    member = _copies(known)
+    # Only the least id of each text goes on; what doesn't is mostly the shorter list.
+    gone = materialise(member.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("node")).alias("own")).where("NOT own").select("doc_id"), "near-gone")
+    signed = materialise(signatures(known.join(_bounded(gone), "doc_id", "left_anti")), "near-signatures")
+    free(gone)
+    buckets = signed.select(F.explode("bands").alias("key"), "node", "n_words")
+    leaders = buckets.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"))
+    leaders = leaders.where("n > 1").join(signed.selectExpr("node AS leader", "n_words AS leader_words"), "leader")
+    leaders = materialise(leaders, "near-leaders")
     stars = materialise(buckets.join(leaders, "key").where("node != leader").select("key", "leader", "leader_words", "node", "n_words", "n"), "near-stars")
+    free(leaders)
+    clean_shuffles(docs.sparkSession)
 
     label = None  # (node, label) of what is connected so far
 
     def connected(pairs: DataFrame) -> DataFrame:
         """Verify pairs and join what they link; returns the pairs with the outcome."""
         nonlocal label
-        outcome = materialise(verify(materialise(pairs, "near-pairs"), known), "near-outcome")
+        pairs = materialise(pairs, "near-pairs")
+        outcome = verify(pairs, known)
+        free(pairs)
         links = outcome.where("linked").select("a", "b")
         if label is None:
             label = components(links)
@@ -313,44 +422,43 @@ def classes(docs: DataFrame) -> DataFrame:
         top = components(_labelled(_labelled(links, "a", label).drop("a"), "b", label).selectExpr("a_label AS a", "b_label AS b"))
         moved = top.withColumnRenamed("label", "above").withColumnRenamed("node", "label")
         old = label.join(moved, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
-        label = materialise(old.unionByName(top.join(label.select("node"), "node", "left_anti")), "near-labels")
+        before, label = label, materialise(old.unionByName(top.join(label.select("node"), "node", "left_anti")), "near-labels")
+        free(before)
         return outcome
 
     # Round one: every member against the least of its leaders that it can be linked to, and then against those it isn't connected with yet.
-    pairs = stars.where(_lengths_fit("leader_words", "n_words")).select(F.col("leader").alias("a"), F.col("node").alias("b"), F.greatest("leader_words", "n_words").alias("longer")).distinct()
-    held = signed.select("doc_id", "bag").dropDuplicates(["doc_id"])
-    pairs = pairs.join(held.selectExpr("doc_id AS a", "bag"), "a").join(held.selectExpr("doc_id AS b", "bag AS other_bag"), "b")
-    pairs = materialise(pairs.where(_bags_fit("longer")).select("a", "b"), "near-possible")
-    outcome = connected(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    rest = _labelled(_labelled(pairs.join(outcome.select("a", "b"), ["a", "b"], "left_anti"), "a", label), "b", label)
-    outcome = outcome.unionByName(connected(rest.where("a_label != b_label").select("a", "b")))
+    pairs = possible(stars.where(_lengths_fit("leader_words", "n_words")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), signed)
+    first = connected(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    rest = _labelled(_labelled(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), "a", label), "b", label)
+    second = connected(rest.where("a_label != b_label").select("a", "b"))
+    outcome = first.unionByName(second)
+    free(pairs)
     # Round two: members that no alignment or chain connects with a leader meet the rest of its bucket.
     # A bucket of two has no rest.
-    apart = _labelled(_labelled(stars.where("n > 2").withColumnRenamed("leader", "a").withColumnRenamed("node", "b"), "a", label), "b", label).where("a_label != b_label")
-    apart = apart.select("key", "n", F.col("b").alias("node"), "n_words", F.col("b_label").alias("label"), F.col("a_label").alias("leader_label"))
+    stars_of = _labelled(_labelled(stars.where("n > 2").withColumnRenamed("leader", "a").withColumnRenamed("node", "b"), "a", label), "b", label)
+    stars_of = materialise(stars_of.select("key", "n", F.col("b").alias("node"), "n_words", F.col("b_label").alias("label"), F.col("a_label").alias("leader_label")), "near-rest")
+    free(stars)
+    apart = stars_of.where("label != leader_label")
     if not apart.isEmpty():
-        hot = stars.join(apart.select("key").distinct(), "key", "left_semi")
-        other = _labelled(hot.withColumnRenamed("node", "b"), "b", label).select("key", F.col("b").alias("other"), F.col("n_words").alias("other_words"), F.col("b_label").alias("other_label"))
-        bags = signed.select("doc_id", "bag").dropDuplicates(["doc_id"])
-        # A pair of two labels is apart from the leader in each bucket it shares, on one side at least.
-        fits = (F.col("label") != F.col("other_label")) & ((F.col("other_label") == F.col("leader_label")) | (F.col("node") < F.col("other"))) & _lengths_fit("n_words", "other_words")
-        named = [F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")]
-        longer = F.greatest("n_words", "other_words")
-        # Small buckets: their pairs once each, then the bags.
-        few = apart.where(F.col("n") <= FEW).join(other, "key").where(fits).select(*named, longer.alias("longer")).distinct()
-        few = few.join(bags.selectExpr("doc_id AS a", "bag"), "a").join(bags.selectExpr("doc_id AS b", "bag AS other_bag"), "b")
-        pairs = few.where(_bags_fit("longer")).select("a", "b")
-        # Large buckets, which may share many pairs: a pair counts in the first that it shares, and its bags are compared there.
-        many = apart.where(F.col("n") > FEW)
-        if not many.isEmpty():
-            large = other.join(many.select("key").distinct(), "key", "left_semi")
-            held = signed.select(F.col("doc_id").alias("node"), "bands", "bag").join(large.select(F.col("other").alias("node")).distinct(), "node", "left_semi")
-            held = materialise(held.dropDuplicates(["node"]), "near-held")
-            large = large.join(held.select(F.col("node").alias("other"), F.col("bands").alias("other_bands"), F.col("bag").alias("other_bag")), "other")
-            once = F.col("key") == F.array_min(F.array_intersect("bands", "other_bands"))
-            more = many.join(held, "node").join(large, "key").where(fits & once & _bags_fit(longer))
-            pairs = pairs.unionByName(more.select(*named))
-        connected(pairs.distinct().join(outcome.select("a", "b"), ["a", "b"], "left_anti"))
+        keys = materialise(apart.select("key").distinct(), "near-keys")
+        open_ = stars_of.join(_bounded(keys), "key", "left_semi")
+        # A bit for each of a text's buckets: texts without a common bit share none.
+        bits = [F.bit_or(F.expr(f"CASE WHEN pmod(shiftright(key, 6), 4) = {i} THEN shiftleft(1L, cast(pmod(key, 64) AS int)) ELSE 0L END")).alias(f"bits{i}") for i in range(4)]
+        held = open_.groupBy("node").agg(F.max("n_words").alias("n_words"), F.max("label").alias("label"), F.max(F.col("label") != F.col("leader_label")).alias("apart"), *bits)
+        held = materialise(held, "near-open")
+        ids = materialise(held.select(F.col("node").alias("doc_id")), "near-ids")
+        rare = materialise(rare_words(known.join(_bounded(ids), "doc_id", "left_semi")).join(held, "node"), "near-rare")
+        other = rare.select("word", *[F.col(c).alias(f"other_{c}") for c in rare.columns if c != "word"])
+        # The first word that both share: what comes before it in either text isn't shared.
+        first_shared = F.least(F.col("n_words") - F.col("place"), F.col("other_n_words") - F.col("other_place")) >= _least_shared(F.greatest("n_words", "other_n_words"))
+        one_bucket = F.expr(" OR ".join(f"(bits{i} & other_bits{i}) != 0" for i in range(4)))
+        fits = (F.col("label") != F.col("other_label")) & (~F.col("other_apart") | (F.col("node") < F.col("other_node"))) & _lengths_fit("n_words", "other_n_words") & first_shared & one_bucket
+        pairs = rare.where("apart").join(other, "word").where(fits).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+        pairs = possible(pairs.join(outcome.select("a", "b"), ["a", "b"], "left_anti"), signed)
+        free(keys, held, ids, rare)
+        clean_shuffles(docs.sparkSession)
+        free(connected(pairs), pairs)
+    free(first, second, stars_of, signed)
     found = member.join(label, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("label", "node")).alias("class_id"))
     return found.unionByName(docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id")))
 
@@ -365,6 +473,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of every class the least id stays; documents with null id stay."""
     docs = docs.select(*DOCUMENT_COLUMNS)
     gone = materialise(classes(docs).where("doc_id != class_id").select("doc_id"), "near-gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(_bounded(gone), "doc_id", "left_anti")
