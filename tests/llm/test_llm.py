@@ -199,7 +199,7 @@ def test_near_dup_scattered_edits(spark):
     """Pairs just above the limit are linked wherever their edits stand, in short and long texts."""
     rng = random.Random(8)
     texts = []
-    for n in [5, 9, 10, 19, 25, 39, 40, 47, 50, 80, 150, 300, 900] * 4:
+    for n in [5, 9, 10, 19, 25, 39, 40, 47, 50, 80, 150, 300, 390, 400, 410, 500, 900] * 4:
         a = [f"w{int(rng.paretovariate(0.4)) % 10**6}" for _ in range(n)]
         b = list(a)
         for i in rng.sample(range(n), n // 5):
@@ -285,7 +285,6 @@ def test_bpe(spark, docs, odd):
 def test_packing(spark, odd):
     path = public_tokenizers.path(packing.TOKENIZER)
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     for rows in (odd, common.table(spark, SF, "documents")):
         texts = [(r.doc_id, r.text or "") for r in rows.collect()]
         left = {}
@@ -302,6 +301,19 @@ def test_packing(spark, odd):
         assert sum(4096 - n for n in sizes.values() if n & (n - 1)) < 0.03 * total
 
 
+def test_packing_ids():
+    """Ids are those of the plain library: special tokens, combining marks, odd white space and letters whose small forms differ."""
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tok, own = Tokenizer.from_file(path), packing.Tokens(path, remember=300)
+    parts = ["a <|endoftext|> b", "<|STARTOFTEXT|>", "J\u030c H\u0331 T\u0308 \u03aa\u0301", "\u0130. \u01c5, \ufb01.", "\u03a3\u03a3 \u03a3.", "\u0958.", "\u00b2, x\u00b2.", "\u1e9e", "don't DON'T.", "e\u0301. E\u0301,", "\u3000a\u00a0b\x85c", "\u0345\u0301 \u0301x", "\x01", "a\x1fb", "\U0001f600.", "\u212a.", "A.B,C."]
+    rng = random.Random(9)
+    letters = "aAzZ\u00e9\u00c9\u0301\u0308\u030c\u0331JHT\u03a3\u03c3\u0130I.,' \n\u00df\u1e9e\u0958\u093c\uac00\u11a8\u1100\u11611"
+    texts = [*parts, *(" ".join(rng.sample(parts, 4)) for _ in range(200)), *("".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(4000))]
+    for i in range(0, len(texts), 100):
+        for t, ids in zip(texts[i : i + 100], own.ids(texts[i : i + 100])):
+            assert ids.tolist() == [*tok.encode(t, add_special_tokens=False).ids, 2], t
+
+
 def test_cuts_are_cheapest():
     rng = random.Random(5)
     for _ in range(200):
@@ -320,7 +332,6 @@ def test_pipeline(spark):
         before, docs = docs, common.materialise(f(spark, docs, SF), "test")
         assert docs.columns == [*common.DOCUMENT_COLUMNS] and docs.count() <= before.count()
     tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    tok.encode_special_tokens = True
     want = {r.doc_id: len(tok.encode(r.text, add_special_tokens=False).ids) + 1 for r in docs.collect()}
     got = {r.doc_id: r.n for r in corpus_pipeline.run(spark, SF).groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
     assert got == want
