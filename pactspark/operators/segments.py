@@ -6,27 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pactspark.functions import parties as P
 from pactspark.functions import text as T
 
 
 def segment_items(items: DataFrame) -> DataFrame:
-    """Fold layout items (doc_id, item_idx, label, text, page_no) into clauses.
+    """Fold layout items (doc_id, item_idx, label, text, page_no) into clauses (doc_id, clause_index, chunk_type, heading, body, start_page, end_page, token_count).
 
-    A heading opens a clause; bodies before any heading are the preamble; bodies join
-    with a blank. The running count of headings is the clause's number.
+    A heading opens a clause; "11. Title. Body ..." in one item is a heading and its body; bodies before any heading are the
+    preamble; bodies join with a blank. A table is a chunk of its own and doesn't close the clause around it.
+    The running count of headings is the clause's number, so one exchange by document is all; clauses are numbered
+    from 0, a table before the clause that it stands in if it comes first.
     """
+    table = F.coalesce(F.lower("label").contains("table"), F.lit(False))
+    inline = F.when(~table, P.inline_heading(F.col("text"), 1))
     heading = F.lower("label").contains("section_header") | (F.lower("label") == "title") | T.is_missed_heading(F.col("text"))
+    head = ~table & (inline.isNotNull() | F.coalesce(heading, F.lit(False)))
     order = W.partitionBy("doc_id").orderBy("item_idx").rowsBetween(W.unboundedPreceding, 0)
-    marked = items.withColumn("is_head", F.coalesce(heading, F.lit(False))).withColumn("grp", F.sum(F.col("is_head").cast("long")).over(order))
-    parts = F.transform(F.sort_array(F.collect_list(F.when(~F.col("is_head"), F.struct("item_idx", "text")))), lambda x: x["text"])
-    out = marked.groupBy("doc_id", "grp").agg(
-        F.coalesce(F.max(F.when(F.col("is_head"), F.col("text"))), F.lit("PREAMBLE")).alias("heading"),
+    marked = items.withColumns({"is_table": table, "inline": inline, "is_head": head}).withColumn("grp", F.sum(F.col("is_head").cast("long")).over(order))
+    body = F.when(F.col("inline").isNotNull(), P.inline_heading(F.col("text"), 2)).when(~F.col("is_head"), F.col("text"))
+    marked = marked.withColumns({"part": body, "own": F.when(F.col("is_table"), F.col("item_idx")).otherwise(-1)})
+    parts = F.transform(F.sort_array(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("item_idx", "part")))), lambda x: x["part"])
+    out = marked.groupBy("doc_id", "grp", "own").agg(
+        F.max(F.when(F.col("is_head"), F.coalesce("inline", "text"))).alias("heading"),
         F.array_join(parts, " ").alias("body"),
         F.min("page_no").alias("start_page"),
         F.max("page_no").alias("end_page"),
+        F.min("item_idx").alias("first"),
     )
+    is_table = F.col("own") >= 0
+    out = out.withColumns({"chunk_type": F.when(is_table, "TABLE").otherwise("CLAUSE"), "heading": F.when(~is_table, F.coalesce("heading", F.lit("PREAMBLE")))})
     out = out.withColumn("token_count", T.token_count(F.concat_ws(" ", "heading", "body")))
-    return out.withColumn("clause_index", (F.row_number().over(W.partitionBy("doc_id").orderBy("grp")) - 1).cast("int")).drop("grp")
+    return out.withColumn("clause_index", (F.row_number().over(W.partitionBy("doc_id").orderBy("first")) - 1).cast("int")).drop("grp", "own", "first")
 
 
 def merge_orphans(clauses: DataFrame) -> DataFrame:

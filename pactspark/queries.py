@@ -297,14 +297,16 @@ def _(v):
     return t.select("filtered", "classified", F.round(F.col("high") / F.col("classified"), 9).alias("rate"))
 
 
-@query("overlap_f1", """WITH w AS (SELECT doc_id, side, word, count(*) AS n FROM (SELECT doc_id, 1 AS side, unnest(regexp_extract_all(lower(split_part(text, chr(10), 1)), '\\S+')) AS word FROM documents WHERE text IS NOT NULL
-UNION ALL SELECT doc_id, 2, unnest(regexp_extract_all(lower(split_part(text, chr(10), 2)), '\\S+')) FROM documents WHERE text IS NOT NULL) GROUP BY ALL),
-c AS (SELECT a.doc_id, sum(least(a.n, b.n)) AS common FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.word = b.word AND a.side = 1 AND b.side = 2 GROUP BY 1),
-s AS (SELECT doc_id, coalesce(sum(n) FILTER (side = 1), 0) AS p, coalesce(sum(n) FILTER (side = 2), 0) AS g FROM w GROUP BY 1)
-SELECT d.doc_id, round(CASE WHEN coalesce(p, 0) = 0 AND coalesce(g, 0) = 0 THEN 1.0 WHEN p = 0 OR g = 0 THEN 0.0 ELSE 2.0::DOUBLE * coalesce(common, 0) / (p + g) END, 9)::DOUBLE AS f1 FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id)""")
-def _(v):
-    line = lambda i: F.coalesce(F.get(F.split("text", "\n"), F.lit(i)), F.lit(""))
-    return C.overlap_f1(v("documents").select("doc_id", line(0).alias("a"), line(1).alias("b")), "a", "b").select("doc_id", F.round("f1", 9).alias("f1"))
+@query("overlap_f1", """WITH p AS (SELECT a.conv_id, a.turn, coalesce(a.text, '') AS x, coalesce(b.text, '') AS y FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+w AS (SELECT conv_id, turn, side, word, count(*) AS n FROM (SELECT conv_id, turn, 1 AS side, unnest(regexp_extract_all(lower(x), '\\S+')) AS word FROM p UNION ALL SELECT conv_id, turn, 2, unnest(regexp_extract_all(lower(y), '\\S+')) FROM p) GROUP BY ALL),
+c AS (SELECT a.conv_id, a.turn, sum(least(a.n, b.n)) AS common FROM w a JOIN w b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.word = b.word AND a.side = 1 AND b.side = 2 GROUP BY ALL),
+s AS (SELECT conv_id, turn, coalesce(sum(n) FILTER (side = 1), 0) AS k, coalesce(sum(n) FILTER (side = 2), 0) AS g FROM w GROUP BY ALL)
+SELECT p.conv_id, p.turn, round(CASE WHEN coalesce(k, 0) = 0 AND coalesce(g, 0) = 0 THEN 1.0 WHEN k = 0 OR g = 0 THEN 0.0 ELSE 2.0::DOUBLE * coalesce(common, 0) / (k + g) END, 9)::DOUBLE AS f1,
+lower(trim(x)) = lower(trim(y)) AS exact FROM p LEFT JOIN s ON s.conv_id = p.conv_id AND s.turn = p.turn LEFT JOIN c ON c.conv_id = p.conv_id AND c.turn = p.turn""")
+def _(v):
+    turns = v("conversations").select("conv_id", "turn", F.col("text").alias("a"))
+    following = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
+    return C.overlap_f1(turns.join(following, ["conv_id", "turn"]), "a", "b").select("conv_id", "turn", F.round("f1", 9).alias("f1"), "exact")
 
 
 # --- order, windows, dedupe -----------------------------------------------------------------

@@ -314,3 +314,28 @@ def test_streamed_progress(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         X.publish(X.progress_events(stream), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     assert sorted((r.progress_pct, r.status) for r in spark.read.json(str(tmp_path / "out")).collect()) == [(5, "PROCESSING"), (100, "COMPLETE")]
+
+
+def test_segments(spark):
+    from pactspark.operators.segments import segment_items
+
+    items = [
+        (1, 0, "text", "before any heading", 1),
+        (1, 1, "table", "| a | b |", 1),
+        (1, 2, "section_header", "Payment", 2),
+        (1, 3, "text", "pay now", 2),
+        (1, 4, "Table", "| c | d |", 3),
+        (1, 5, "text", "and later", 4),
+        (1, 6, "text", "11. Entire Agreement. This is the whole of it all.", 5),
+        (1, 7, "text", "nothing else", 6),
+        (2, 0, "title", "Alone", None),
+    ]
+    got = segment_items(rows(spark, items, "doc_id int, item_idx int, label string, text string, page_no int")).orderBy("doc_id", "clause_index").collect()
+    assert [(r.doc_id, r.clause_index, r.chunk_type, r.heading, r.body, r.start_page, r.end_page) for r in got] == [
+        (1, 0, "CLAUSE", "PREAMBLE", "before any heading", 1, 1),
+        (1, 1, "TABLE", None, "| a | b |", 1, 1),
+        (1, 2, "CLAUSE", "Payment", "pay now and later", 2, 4),
+        (1, 3, "TABLE", None, "| c | d |", 3, 3),
+        (1, 4, "CLAUSE", "11. Entire Agreement.", "This is the whole of it all. nothing else", 5, 6),
+        (2, 0, "CLAUSE", "Alone", "", None, None),
+    ]
