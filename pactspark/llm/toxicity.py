@@ -165,7 +165,7 @@ def marked_segments(marked: list[tuple[int, float]], n: int) -> list[tuple[int,
     return maximal_segments(marked, n) if any(s > 0 for _, s in marked) else []
 
 
-def _remembered(known: dict[str, float], most: int = 300_000) -> dict[str, float]:
+def _remembered(known: dict[str, float], most: int = 150_000) -> dict[str, float]:
     if len(known) > most:
         known.clear()
     return known
