@@ -11,8 +11,11 @@
 
 Equal vectors are one class with its ``k + 1`` least ids (no answer needs more), so a
 vector that a third of all rows share costs as much as any other. Classes are dealt to
-blocks by hash; the stated queries, also in blocks, meet every block. What a block
-returns is at most ``k + 1`` classes a query.
+blocks by hash; the stated queries, also in blocks, meet every block, and are shipped once to
+each group of ``GROUP`` blocks. What a block returns is at most ``k + 1`` classes a query.
+
+Coarse cells that a query probes a few of would save scans only where vectors lie in
+clusters; README has measured figures of why all blocks are scanned.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components,
 and vectors of another length than the most frequent one, take no part; ids that are null
@@ -39,6 +42,8 @@ CENTROIDS, PAIR = 16, 2
 ROUNDS = 8
 BLOCK = 4_096
 QUERY_BLOCK = 256
+#: Blocks that one copy of the queries serves.
+GROUP = 16
 RERANK = 128
 
 
@@ -114,8 +119,14 @@ def scan(queries: np.ndarray, look_up: np.ndarray, codes: np.ndarray, vectors: n
         rough += look_up[:, b, :][:, codes[:, b]]
     for q in range(len(queries)):
         rows = np.arange(len(codes)) if len(codes) <= rerank else np.argpartition(-rough[q], rerank - 1)[:rerank]
+        products = vectors[rows] * queries[q]
+        near = products.sum(1)
+        if len(rows) > k:  # rounding can't lift what is further behind than this
+            slack = 1e-12 * float(np.abs(products).sum(1).max())
+            keep = near >= np.partition(near, -k)[-k] - slack
+            rows, products = rows[keep], products[keep]
         # One product at a time, summed exactly: equal vectors and any order of rows give the same bits.
-        exact = np.array([math.fsum(p) for p in vectors[rows] * queries[q]])
+        exact = np.array([math.fsum(p) for p in products])
         best = np.lexsort((ids[rows], -exact))[:k]
         yield q, rows[best], exact[best]
 
@@ -131,7 +142,7 @@ def _clean(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def search(rows: DataFrame, query: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = RERANK) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each row that ``query`` (SQL over ``id``) selects."""
     spark = rows.sparkSession
-    good = _clean(rows, id_col, vector_col).distinct()
+    good = materialise(_clean(rows, id_col, vector_col).distinct(), "ann-good")
     sizes = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     out_schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
@@ -171,7 +182,10 @@ def search(rows: DataFrame, query: str, k: int = 20, id_col: str = "vec_id", vec
 
     ask = ask.withColumn("part", F.pmod(F.xxhash64("class", F.lit(5)), F.lit(n_asked)).cast("int"))
     ask = ask.groupBy("part").applyInPandas(pack_queries, "part int, asked binary, queries binary")
-    meet = ask.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(blocks, "block")
+    # Queries go once to each group of blocks, not to each block.
+    n_groups = min(n_blocks, max(spark.sparkContext.defaultParallelism, -(-n_blocks // GROUP)))
+    grouped = blocks.withColumn("group", F.col("block") % n_groups)
+    meet = ask.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1)))).join(grouped, "group")
     schema = pa.schema([("asked", pa.int64()), ("class", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
