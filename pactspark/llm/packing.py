@@ -21,6 +21,7 @@ packed as often as they occur; only id and text are read.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -41,13 +42,19 @@ WINDOW = 4096
 SENTENCE_CUT, TOKEN_CUT = 4, 24
 BLOCK = 1 << 20
 REMEMBER = 400_000
-#: Texts that are tokenised at once.
-TEXTS = 1024
+#: Texts that are tokenised at once: so many bytes of them, and one text at least.
+BYTES = 1 << 22
 #: A pre-token of one id that stands between runs when many are encoded at once.
 _MARK = "\x01"
-#: Texts with one of these are encoded whole: the mark; what one library takes for white space and
-#: the other doesn't; a letter whose small form depends on its neighbours.
-_ODD = re.compile("[\x01\x1c-\x1f\u03a3]")
+#: Texts with one of these are encoded whole: the mark; what one library takes for white space and the
+#: other doesn't; marks that combine with a letter, as the tokenizer composes letters first and makes
+#: them small then, and small letters combine with other marks. So are texts that hold an added token.
+_ODD = "[\x01\x1c-\x1f\u0300-\u036f]"
+
+
+def _plain_letter(c: str) -> bool:
+    """Whether a letter or digit is sure to stay the single character it is when it is composed and made small."""
+    return c.isalnum() and (c.isascii() or (c.islower() and unicodedata.is_normalized("NFC", c)))
 
 
 class Tokens:
@@ -57,7 +64,8 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([_ODD, *added]), re.IGNORECASE)
         self.end = np.uint32(end)
         self.remember = remember
         self.known: dict[str, bytes] = {}
@@ -83,7 +91,7 @@ class Tokens:
                 continue
             if run in older:
                 known[run] = older[run]
-            elif run[-1:] in self.single and run[-2:-1].isalnum():
+            elif run[-1:] in self.single and _plain_letter(run[-2:-1]):
                 # One stop after a word is a pre-token of its own.
                 stopped.append(run)
                 if (word := run[:-1]) not in known:
@@ -105,28 +113,55 @@ class Tokens:
             known[run] = known[run[:-1]] + self.single[run[-1]]
         return [known[run] for run in runs]
 
+    def _coded(self, texts: list[str | None]) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+        """Which texts are to be encoded whole, the ids of each distinct run, which run stands where, and where each text's runs begin."""
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
+        coded = split.flatten().dictionary_encode()
+        runs, which, offsets = coded.dictionary.to_pylist(), coded.indices.to_numpy(), split.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        whole = np.zeros(len(texts), bool)
+        if self.odd.search("\n".join(runs)):
+            odd = np.array([self.odd.search(run) is not None for run in runs])
+            before = np.concatenate(([0], np.cumsum(odd[which])))[offsets]
+            whole = np.diff(before) > 0
+            runs = ["" if o else run for o, run in zip(odd.tolist(), runs)]
+        return whole, self._look_up(runs), which, offsets
+
     def ids(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text with the end id. Distinct runs are found and put in place column-wise."""
-        plain = [not _ODD.search(t or "") for t in texts]
-        split = pc.ascii_split_whitespace(pa.array([(t or "").lower() if ok else "" for t, ok in zip(texts, plain)], pa.large_string()))
-        coded = split.flatten().dictionary_encode()
-        raw = self._look_up(coded.dictionary.to_pylist())
+        whole, raw, which, offsets = self._coded(texts)
         every = np.frombuffer(b"".join(raw), "<u4")
         size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         start = np.cumsum(size) - size
-        which = coded.indices.to_numpy()
         sizes = size[which]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         ids = every[np.repeat(start[which] - ends[:-1], sizes) + np.arange(ends[-1])]
-        offsets = split.offsets.to_numpy()
-        bounds = ends[offsets - offsets[0]].tolist()
-        return [np.append(ids[a:b] if ok else self._whole(t), self.end) for t, ok, a, b in zip(texts, plain, bounds, bounds[1:])]
+        bounds = ends[offsets].tolist()
+        return [np.append(self._whole(t) if odd else ids[a:b], self.end) for t, odd, a, b in zip(texts, whole, bounds, bounds[1:])]
+
+    def counts(self, texts: list[str | None]) -> list[int]:
+        """How many ids each text has, without the end id."""
+        whole, raw, which, offsets = self._coded(texts)
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        bounds = np.concatenate(([0], np.cumsum(size[which])))[offsets]
+        return [len(self._whole(t)) if odd else n for t, odd, n in zip(texts, whole, np.diff(bounds).tolist())]
+
+
+def parts(batch: pa.RecordBatch, column: str, most: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in slices whose texts have up to ``most`` bytes together, one row at least."""
+    sizes = np.cumsum(np.nan_to_num(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False).astype(np.float64)))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 _TOKENS: dict[str, Tokens] = {}
 
 
-def _forget() -> None:
+def forget() -> None:
+    """Drop what this worker remembers."""
     _TOKENS.clear()
 
 
@@ -235,14 +270,13 @@ def pack(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own_worker("packing", _forget)
+        own_worker("packing", forget)
         own = tokens(path)
 
         def stream() -> Iterator[tuple[int | None, np.ndarray]]:
             for batch in batches:
-                ids = batch.column("doc_id").to_pylist()
-                for i in range(0, len(ids), TEXTS):
-                    yield from zip(ids[i : i + TEXTS], own.ids(batch.column("text").slice(i, TEXTS).to_pylist()))
+                for part in parts(batch, "text"):
+                    yield from zip(part.column("doc_id").to_pylist(), own.ids(part.column("text").to_pylist()))
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             columns = [*zip(*rows)]
