@@ -94,28 +94,24 @@ def bio_tags(text: Column, agent: Column, action: Column) -> Column:
 
     Places are found in small letters; a tagged word isn't tagged again, and the first word that a span tags begins it.
     """
-    pieces = F.zip_with(F.split(text, r"\S+", F.lit(-1)), F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    kind = "array<struct<token: string, start: int, stop: int>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-    step = lambda a, x: F.struct(
-        (a["at"] + x["gap"] + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-        F.when(x["hit"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(x["hit"].alias("token"), (a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.length(x["hit"])).alias("stop"))))).cast(kind).alias("out"),
-    )
-    tokens = F.aggregate(pieces, zero, step, lambda a: a["out"])
-
     def place(span: Column) -> Column:
         given = span.isNotNull() & (span != "") & (F.lower(span) != "null")
         return F.when(given, F.instr(F.lower(text), F.lower(span)) - 1).otherwise(F.lit(-1))
 
     def tagged(taken: Column, span: Column, label: str) -> Column:
         """Tags so far (null: none) with those of one more span."""
-        first, last = place(span), place(span) + F.length(span)
-        mine = F.transform(taken, lambda t: t["tag"].isNull() & (first >= 0) & (t["stop"] > first) & (t["start"] < last))
-        begin = F.array_position(mine, True)
-        return F.transform(taken, lambda t, i: F.struct(t["token"].alias("token"), t["start"].alias("start"), t["stop"].alias("stop"), F.when(F.get(mine, i), F.when(i + 1 == begin, f"B-{label}").otherwise(f"I-{label}")).otherwise(t["tag"]).alias("tag")))
+        bounds = T.bind(place(span), lambda at: F.struct(at.alias("first"), (at + F.length(span)).alias("last")))
+
+        def of(known: Column, own: Column) -> Column:
+            mine = F.transform(known, lambda t: t["tag"].isNull() & (own["first"] >= 0) & (t["stop"] > own["first"]) & (t["start"] < own["last"]))
+            tag = lambda t, mine, first: F.when(mine, F.when(first, F.lit(f"B-{label}")).otherwise(F.lit(f"I-{label}"))).otherwise(t["tag"])
+            each = lambda flags, first: F.transform(known, lambda t, i: F.struct(t["token"].alias("token"), t["start"].alias("start"), t["stop"].alias("stop"), tag(t, F.get(flags, i), i + 1 == first).alias("tag")))
+            return T.bind(mine, lambda flags: T.bind(F.array_position(flags, True), lambda first: each(flags, first)))
+
+        return T.bind(taken, lambda known: T.bind(bounds, lambda own: of(known, own)))
 
-    bare = F.transform(tokens, lambda t: F.struct(t["token"].alias("token"), t["start"].alias("start"), t["stop"].alias("stop"), F.lit(None).cast("string").alias("tag")))
-    both = tagged(tagged(bare, agent, "AGENT"), action, "ACTION")
+    tokens = F.zip_with(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), T.match_spans(text, r"\S+"), lambda x, at: F.struct(x.alias("token"), at["start"].alias("start"), at["end"].alias("stop"), F.lit(None).cast("string").alias("tag")))
+    both = tagged(tagged(tokens, agent, "AGENT"), action, "ACTION")
     return F.transform(both, lambda t: F.struct(t["token"].alias("token"), F.coalesce(t["tag"], F.lit("O")).alias("tag")))
 
 

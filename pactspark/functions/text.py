@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -54,6 +55,43 @@ DURATION = (
 )
 
 
+#: Elements whose offsets ``match_spans`` sums in one go; it changes the work, not the result.
+BLOCK = 128
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: a Column that stands in a lambda is computed anew for each element, and again wherever it is named."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _sums_before(lengths: Column) -> Column:
+    """array<int>: for each element the sum of those before it, by blocks, as appending one by one copies all that came before."""
+    kind = "array<int>"
+
+    def running(values: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("at"), F.array().cast(kind).alias("out"))
+        return F.aggregate(values, zero, lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    def parts(each: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(each) / BLOCK).cast("int")), lambda b: F.slice(each, b * BLOCK + 1, F.lit(BLOCK)))
+        return bind(blocks, lambda bs: bind(running(F.transform(bs, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), F.lit(0)), lambda at: F.flatten(F.zip_with(bs, at, running))))
+
+    return bind(lengths, parts)
+
+
+def match_spans(text: Column, pattern: str) -> Column:
+    """array<struct<start, end>> of all matches, offsets from 0: running lengths of what lies between them and of themselves."""
+    kind = "array<struct<start: int, `end`: int>>"
+    pieces = F.zip_with(F.split(text, pattern, F.lit(-1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
+
+    def spans(each: Column) -> Column:
+        before = _sums_before(F.transform(each, lambda x: x["gap"] + F.coalesce(x["hit"], F.lit(0))))
+        found = F.zip_with(each, before, lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["hit"]).alias("end")))
+        return F.filter(found, lambda s: s["end"].isNotNull()).cast(kind)  # the last gap has no match behind it
+
+    return bind(pieces, spans)
+
+
 def words(text: Column) -> Column:
     """Words between white space; no empty ones."""
     return F.filter(F.split(text, r"[\s\x{00a0}\x{2002}\x{2003}\x{2009}\x{200a}]+"), lambda w: w != "")

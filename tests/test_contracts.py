@@ -187,6 +187,17 @@ def test_bio_tags(spark):
     assert all([tuple(y) for y in r.x] == plain(r.text, r.agent, r.action) for r in got)
 
 
+def test_bio_tags_of_long_texts(spark):
+    """Words and places are found once, not anew for each word."""
+    made = L.bio_tags(F.col("text"), F.lit("the buyer"), F.lit("pay rent"))
+    df = rows(spark, [("x " * 3000 + "The Buyer shall  pay the rent",), (None,)], "text string").select(made.alias("x"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2
+    long, none = (r.x for r in df.collect())
+    assert [t["tag"] for t in long] == ["O"] * 3000 + ["B-AGENT", "I-AGENT", "O", "O", "O", "O"] and none is None
+    (r,) = rows(spark, [("x " * 1000 + "the buyer must pay rent",)], "text string").select(made.alias("x")).collect()
+    assert [t["tag"] for t in r.x][1000:] == ["B-AGENT", "I-AGENT", "O", "B-ACTION", "I-ACTION"]
+
+
 def test_strided_windows(spark):
     for n in (0, 1, 4, 5, 6, 8, 9, 10, 31):
         (r,) = rows(spark, [([str(i) for i in range(n)],)], "t array<string>").select(L.strided_windows(F.col("t"), 5, 2).alias("w")).collect()
