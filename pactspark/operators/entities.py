@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactspark.functions import labels as L
-from pactspark.operators.provisions import match_spans
+from pactspark.functions.text import match_spans
 
 #: Patterns by label.
 RULES = {

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pactspark.functions import text as T
+from pactspark.functions.text import bind, match_spans
 
 # Fixed values.
 MARKER = r"(?i)(?:Section|Sec\.|Article|Clause)\s+(?:\d+(?:\.\d+)*|[IVXLCDM]+)"
@@ -20,20 +21,6 @@ TITLE = r"^([A-Z][^.\n]{0,60}?)\."
 # End of the fixed values.
 
 
-def match_spans(text: Column, pattern: str) -> Column:
-    """array<struct<start, end>> of all matches, offsets from 0: running lengths of what lies between them and of themselves."""
-    kind = "array<struct<start: int, `end`: int>>"
-    pieces = F.zip_with(F.split(text, pattern, F.lit(-1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        more = F.concat(a["out"], F.array(F.struct(start.alias("start"), (start + x["hit"]).alias("end"))))
-        return F.struct((start + F.coalesce(x["hit"], F.lit(0))).alias("at"), F.when(x["hit"].isNull(), a["out"]).otherwise(more).cast(kind).alias("out"))
-
-    return F.aggregate(pieces, zero, step, lambda a: a["out"])
-
-
 def _part(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
@@ -59,21 +46,29 @@ def provisions(heading: Column, body: Column) -> Column:
 
     An introduction of five words or more keeps the clause's heading; pieces under 40 characters join the piece before.
     """
-    starts = F.transform(F.filter(match_spans(body, MARKER), lambda m: is_provision_start(body, m["start"], m["end"])), lambda m: m["start"])
-    bounds = F.concat(starts, F.array(F.length(body)))
-    cut = F.transform(F.sequence(F.lit(1), F.size(starts)), lambda i: F.trim(_part(body, F.get(bounds, i - 1), F.get(bounds, i))))
     kind = "array<struct<heading: string, body: string>>"
-    made = F.transform(F.filter(cut, lambda x: x != ""), lambda x: F.struct(F.coalesce(carve_heading(x), heading).alias("heading"), x.alias("body")))
-    intro = F.trim(_part(body, F.lit(0), F.get(starts, 0)))
-    every = F.when(F.size(T.words(intro)) >= LEAST_INTRO, F.concat(F.array(F.struct(heading.alias("heading"), intro.alias("body"))), made)).otherwise(made)
+
+    def pieces(text: Column, starts: Column) -> Column:
+        bounds = F.concat(starts, F.array(F.length(text)))
+        cut = bind(bounds, lambda at: F.transform(F.sequence(F.lit(1), F.size(starts)), lambda i: F.trim(_part(text, F.get(at, i - 1), F.get(at, i)))))
+        made = F.transform(F.filter(cut, lambda x: x != ""), lambda x: F.struct(F.coalesce(carve_heading(x), heading).alias("heading"), x.alias("body")))
+        intro = F.filter(F.array(F.trim(_part(text, F.lit(0), F.get(starts, 0)))), lambda x: F.size(T.words(x)) >= LEAST_INTRO)
+        return F.concat(F.transform(intro, lambda x: F.struct(heading.alias("heading"), x.alias("body"))), made)
 
     def step(acc: Column, x: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))
         joined = F.struct(last["heading"].alias("heading"), F.concat_ws(" ", last["body"], x["body"]).alias("body"))
         return F.when((F.size(acc) > 0) & (F.length(x["body"]) < LEAST_PIECE), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.concat(acc, F.array(x))).cast(kind)
 
-    merged = F.aggregate(every, F.array().cast(kind), step)
-    return F.when((F.length(body) >= SHORTEST_BODY) & (F.size(starts) >= 2) & (F.size(merged) >= 2), merged)
+    def split(text: Column, starts: Column) -> Column:
+        merged = F.aggregate(pieces(text, starts), F.array().cast(kind), step)
+        return F.when(F.size(starts) >= 2, bind(merged, lambda m: F.when(F.size(m) >= 2, m)))
+
+    def of(text: Column) -> Column:
+        starts = F.transform(F.filter(match_spans(text, MARKER), lambda m: is_provision_start(text, m["start"], m["end"])), lambda m: m["start"])
+        return F.when(F.length(text) >= SHORTEST_BODY, bind(starts, lambda at: split(text, at)))
+
+    return bind(body, of)
 
 
 def split_provisions(clauses: DataFrame) -> DataFrame:
@@ -82,8 +77,10 @@ def split_provisions(clauses: DataFrame) -> DataFrame:
     ``piece`` numbers a clause's rows from 0. Only rows of type CLAUSE are split; a null body stays as it is. No exchange.
     """
     found = F.when(F.col("chunk_type") == "CLAUSE", provisions(F.col("heading"), F.col("body")))
-    whole = F.array(F.struct(F.col("heading"), F.col("body")))
-    parts = clauses.withColumn("parts", F.coalesce(found, whole)).withColumn("split", found.isNotNull())
+    below = lambda parts, levels: F.transform(parts, lambda p: F.struct(p["heading"].alias("heading"), p["body"].alias("body"), F.lit(levels).alias("below")))
+    whole = F.array(F.struct(F.col("heading").alias("heading"), F.col("body").alias("body")))
+    parts = bind(found, lambda f: F.when(f.isNotNull(), below(f, 1)).otherwise(below(whole, 0)))
     keep = [c for c in clauses.columns if c not in ("heading", "body", "level")]
-    each = parts.select(*keep, "level", "split", F.posexplode("parts").alias("piece", "part"))
-    return each.select(*keep, F.col("part.heading").alias("heading"), F.col("part.body").alias("body"), (F.col("level") + F.col("split").cast("int")).alias("level"), "piece")
+    # There is always a part: the outer form only keeps Spark from filtering by, and so computing, the parts twice more.
+    each = clauses.select(*keep, "level", F.posexplode_outer(parts).alias("piece", "part"))
+    return each.select(*keep, F.col("part.heading").alias("heading"), F.col("part.body").alias("body"), (F.col("level") + F.col("part.below")).alias("level"), "piece")

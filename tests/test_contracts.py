@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pactspark.functions import labels as L
+from pactspark.functions import text as T
 from pactspark.operators import obligations as O  # noqa: E741
 from pactspark.operators import provisions as V
 from pactspark.operators import relational as R
@@ -64,6 +65,20 @@ def test_provisions(spark):
     assert V.split_provisions(table).count() == len(texts)
 
 
+def test_provisions_of_long_bodies(spark):
+    """Markers are found once, not anew for each piece; their offsets hold over blocks."""
+    n = T.BLOCK * 2 + 3
+    body = " ".join(f"Section {i}. Words of a provision that is long enough." for i in range(n))
+    df = V.split_provisions(rows(spark, [(1, "CLAUSE", "H", body, 1), (2, "CLAUSE", "H", None, 1)], "id int, chunk_type string, heading string, body string, level int"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    got = df.orderBy("id", "piece").collect()
+    assert [(r.body, r.level, r.piece) for r in got[:-1]] == [(f"Section {i}. Words of a provision that is long enough.", 2, i) for i in range(n)]
+    assert tuple(got[-1]) == (2, "CLAUSE", "H", None, 1, 0)
+    for k in (0, 1, T.BLOCK - 1, T.BLOCK, T.BLOCK + 1):
+        (r,) = rows(spark, [("ab1, " * k,)], "t string").select(T.match_spans(F.col("t"), r"\d,").alias("x")).collect()
+        assert [tuple(x) for x in r.x] == [(5 * i + 2, 5 * i + 4) for i in range(k)]
+
+
 def test_duty_table(spark):
     known = ["Acme Corp", "XY"]
     texts = [
