@@ -27,7 +27,9 @@ linked texts the longer has at most a fifth of its words beyond those that both
 either's labelled words, in one order for all texts, the first fifth and one more hold a
 word of the other's first fifth and one more. The order is by frequency in these texts, so a
 phrase that many of them share makes no pairs, and no link is lost however large a bucket
-is. A mask of each text's buckets sorts out most pairs that share none.
+is. Two texts that share many such words meet at the first of them, not once for each: a word
+makes no pair if one of the ``BEFORE`` words before it in either text's order is shared too, as the
+pair met there or earlier. A mask of each text's buckets sorts out most pairs that share none.
 
 Two texts are at least as many edits apart as the longer has words beyond those that
 both hold, and counts of labelled words by hash bound that number from above: pairs
@@ -64,6 +66,8 @@ LONG, TAKE_LONG, BANDS_LONG = 400, 3, 176
 SLOTS = 64, 16_384
 #: Counts (by hash of a labelled word) that put words in order of frequency; which order it is changes the work, not the result.
 RANKS = 1 << 20
+#: Words that a rare word carries of those before it in its text's order, to make a pair once; more make fewer pairs twice, none lost.
+BEFORE = 8
 #: Up to so many ids (16 bytes each) are broadcast to pick texts from a scan; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 _RNG = np.random.Generator(np.random.Philox(key=[7, 5]))
@@ -277,8 +281,15 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
+def _words_before(found: np.ndarray) -> pa.ListArray:
+    """For each word up to ``BEFORE`` of those before it."""
+    at = np.arange(len(found))[:, None] + np.arange(-BEFORE, 0)
+    ends = np.concatenate(([0], np.cumsum(np.minimum(np.arange(len(found)), BEFORE))))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[at[at >= 0]]))
+
+
 def rare_words(docs: DataFrame) -> DataFrame:
-    """(word, place, node): the ``prefix`` of each of (doc_id, text), words ranked by their counts in these texts."""
+    """(word, place, before, node): the ``prefix`` of each of (doc_id, text), words ranked by their counts in these texts, with the words just before."""
     words = _Words()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,10 +312,25 @@ def rare_words(docs: DataFrame) -> DataFrame:
             for node, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 hashes = words.hashes((text.as_py() or "").lower().split())
                 if len(hashes):
-                    found = prefix(labelled_words(hashes), frequency)
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.arange(len(found))), pa.array(np.full(len(found), node))], ["word", "place", "node"])
+                    found = prefix(labelled_words(hashes), frequency).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.arange(len(found))), _words_before(found), pa.array(np.full(len(found), node))], ["word", "place", "before", "node"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "word long, place long, before array<long>, node long")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "word long, place long, node long")
+
+def meet(rare: DataFrame) -> DataFrame:
+    """(a, b), most of them once, of the texts that share a rare word and a bucket, are of lengths that fit and of different labels, one of them apart.
+
+    ``rare`` has the columns of ``rare_words``, n_words, label, apart and the masks bits0 to bits3.
+    """
+    other = rare.select("word", *[F.col(c).alias(f"other_{c}") for c in rare.columns if c != "word"])
+    # The first word that both share: what comes before it in either text isn't shared.
+    first_shared = F.least(F.col("n_words") - F.col("place"), F.col("other_n_words") - F.col("other_place")) >= _least_shared(F.greatest("n_words", "other_n_words"))
+    one_bucket = F.expr(" OR ".join(f"(bits{i} & other_bits{i}) != 0" for i in range(4)))
+    fits = (F.col("label") != F.col("other_label")) & (~F.col("other_apart") | (F.col("node") < F.col("other_node"))) & _lengths_fit("n_words", "other_n_words") & first_shared & one_bucket
+    # The earlier word passed all these tests as well: they are the same for all words of a pair, or easier for earlier ones.
+    fits = fits & ~F.arrays_overlap("before", "other_before")
+    return rare.where("apart").join(other, "word").where(fits).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -448,12 +474,7 @@ def classes(docs: DataFrame) -> DataFrame:
         held = materialise(held, "near-open")
         ids = materialise(held.select(F.col("node").alias("doc_id")), "near-ids")
         rare = materialise(rare_words(known.join(_bounded(ids), "doc_id", "left_semi")).join(held, "node"), "near-rare")
-        other = rare.select("word", *[F.col(c).alias(f"other_{c}") for c in rare.columns if c != "word"])
-        # The first word that both share: what comes before it in either text isn't shared.
-        first_shared = F.least(F.col("n_words") - F.col("place"), F.col("other_n_words") - F.col("other_place")) >= _least_shared(F.greatest("n_words", "other_n_words"))
-        one_bucket = F.expr(" OR ".join(f"(bits{i} & other_bits{i}) != 0" for i in range(4)))
-        fits = (F.col("label") != F.col("other_label")) & (~F.col("other_apart") | (F.col("node") < F.col("other_node"))) & _lengths_fit("n_words", "other_n_words") & first_shared & one_bucket
-        pairs = rare.where("apart").join(other, "word").where(fits).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")).distinct()
+        pairs = meet(rare).distinct()
         pairs = possible(pairs.join(outcome.select("a", "b"), ["a", "b"], "left_anti"), signed)
         free(keys, held, ids, rare)
         clean_shuffles(docs.sparkSession)

@@ -397,6 +397,24 @@ def test_large_bucket_meets_by_rare_words(spark):
     assert got == dict(enumerate(above)) and len({*above}) == 60
 
 
+def test_near_copies_meet_once(spark):
+    """A pair of texts that share many rare words makes about one row, not one for each word, and none is lost."""
+    rng = random.Random(5)
+    texts = []
+    for i in range(80):
+        own = [f"w{k}" for k in range(100)]
+        for k in rng.sample(range(100), 18):
+            own[k] = f"e{i}y{k}"
+        texts.append(" ".join(own))
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    bits = [F.lit(1).cast("long").alias(f"bits{i}") for i in range(4)]
+    rare = near_dup.rare_words(docs).select("*", F.lit(100).alias("n_words"), F.col("node").alias("label"), F.lit(True).alias("apart"), *bits)
+    got = [tuple(r) for r in near_dup.meet(rare).collect()]
+    every = [tuple(r) for r in near_dup.meet(rare.withColumn("before", F.expr("cast(array() AS array<long>)"))).collect()]
+    assert {*got} == {*every} and len(got) < 1.3 * len({*got}) and len(every) > 1.5 * len({*got})
+    assert all((a, b) in {*got} for a, b in itertools.combinations(range(80), 2) if near_dup.near(texts[a], texts[b]))
+
+
 def test_ann_recall_over_several_blocks(spark, monkeypatch):
     """Recall where candidates fill many blocks and queries several parts; at two sizes."""
     monkeypatch.setattr(ann, "BLOCK", 256)
