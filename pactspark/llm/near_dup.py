@@ -46,6 +46,7 @@ null class; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,7 +68,7 @@ SLOTS = 64, 16_384
 #: Counts (by hash of a labelled word) that put words in order of frequency; which order it is changes the work, not the result.
 RANKS = 1 << 20
 #: Words that a rare word carries of those before it in its text's order, to make a pair once; more make fewer pairs twice, none lost.
-BEFORE = 8
+BEFORE = 4
 #: Up to so many ids (16 bytes each) are broadcast to pick texts from a scan; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 _RNG = np.random.Generator(np.random.Philox(key=[7, 5]))
@@ -281,15 +282,17 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _words_before(found: np.ndarray) -> pa.ListArray:
-    """For each word up to ``BEFORE`` of those before it."""
-    at = np.arange(len(found))[:, None] + np.arange(-BEFORE, 0)
-    ends = np.concatenate(([0], np.cumsum(np.minimum(np.arange(len(found)), BEFORE))))
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found[at[at >= 0]]))
+def _words_before(found: np.ndarray, back: int) -> pa.Array:
+    """For each word the one so many before it; null for the first ones."""
+    moved = np.concatenate((np.zeros(min(back, len(found)), np.int64), found[:-back]))
+    return pa.array(moved, mask=np.arange(len(found)) < back)
 
 
 def rare_words(docs: DataFrame) -> DataFrame:
-    """(word, place, before, node): the ``prefix`` of each of (doc_id, text), words ranked by their counts in these texts, with the words just before."""
+    """(word, place, node, before1, ...): the ``prefix`` of each of (doc_id, text), words ranked by their counts in these texts, with the words just before.
+
+    Words that surely stand in no other of these texts are left out; places count them.
+    """
     words = _Words()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,10 +315,14 @@ def rare_words(docs: DataFrame) -> DataFrame:
             for node, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 hashes = words.hashes((text.as_py() or "").lower().split())
                 if len(hashes):
-                    found = prefix(labelled_words(hashes), frequency).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.arange(len(found))), _words_before(found), pa.array(np.full(len(found), node))], ["word", "place", "before", "node"])
+                    found = prefix(labelled_words(hashes), frequency)
+                    place = np.flatnonzero(frequency[found & np.uint64(RANKS - 1)] > 1)
+                    found = found[place].view(np.int64)
+                    made = [pa.array(found), pa.array(place), pa.array(np.full(len(found), node, np.int64)), *(_words_before(found, k) for k in range(1, BEFORE + 1))]
+                    yield pa.RecordBatch.from_arrays(made, ["word", "place", "node", *before])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "word long, place long, before array<long>, node long")
+    before = [f"before{k}" for k in range(1, BEFORE + 1)]
+    return docs.select("doc_id", "text").mapInArrow(run, "word long, place long, node long, " + ", ".join(f"{c} long" for c in before))
 
 
 def meet(rare: DataFrame) -> DataFrame:
@@ -329,7 +336,9 @@ def meet(rare: DataFrame) -> DataFrame:
     one_bucket = F.expr(" OR ".join(f"(bits{i} & other_bits{i}) != 0" for i in range(4)))
     fits = (F.col("label") != F.col("other_label")) & (~F.col("other_apart") | (F.col("node") < F.col("other_node"))) & _lengths_fit("n_words", "other_n_words") & first_shared & one_bucket
     # The earlier word passed all these tests as well: they are the same for all words of a pair, or easier for earlier ones.
-    fits = fits & ~F.arrays_overlap("before", "other_before")
+    before = [c for c in rare.columns if c.startswith("before")]
+    for mine, its in itertools.product(before, before):
+        fits = fits & F.coalesce(F.col(mine) != F.col(f"other_{its}"), F.lit(True))
     return rare.where("apart").join(other, "word").where(fits).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
 
 

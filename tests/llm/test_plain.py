@@ -410,7 +410,7 @@ def test_near_copies_meet_once(spark):
     bits = [F.lit(1).cast("long").alias(f"bits{i}") for i in range(4)]
     rare = near_dup.rare_words(docs).select("*", F.lit(100).alias("n_words"), F.col("node").alias("label"), F.lit(True).alias("apart"), *bits)
     got = [tuple(r) for r in near_dup.meet(rare).collect()]
-    every = [tuple(r) for r in near_dup.meet(rare.withColumn("before", F.expr("cast(array() AS array<long>)"))).collect()]
+    every = [tuple(r) for r in near_dup.meet(rare.drop(*[c for c in rare.columns if c.startswith("before")])).collect()]
     assert {*got} == {*every} and len(got) < 1.3 * len({*got}) and len(every) > 1.5 * len({*got})
     assert all((a, b) in {*got} for a, b in itertools.combinations(range(80), 2) if near_dup.near(texts[a], texts[b]))
 
