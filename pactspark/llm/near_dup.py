@@ -21,15 +21,18 @@ Candidates are not all pairs of a bucket. Round one verifies every member agains
 the bucket's least id (a star, linear in the bucket's size) if their bags of words
 allow a link (as below), the least of these leaders first, then those with which it isn't
 connected by then. Round two is for members that stay apart from a leader: they meet
-the bucket's other members with which they aren't connected either. For that the texts
-of such buckets are dealt anew by their rarest labelled words (prefix filter): of two
+the bucket's other members with which they aren't connected either. Such buckets are split
+by length into cells of two neighbouring classes, so that texts whose lengths allow a link
+share one; most buckets of chance fall apart by that. Cells of up to ``SMALL`` texts are
+paired directly, ``SMALL`` rows for a text at most. The texts of
+larger cells are dealt anew by their rarest labelled words (prefix filter): of two
 linked texts the longer has at most a fifth of its words beyond those that both hold, so of
 either's labelled words, in one order for all texts, the first fifth and one more hold a
 word of the other's first fifth and one more. The order is by frequency in these texts, so a
 phrase that many of them share makes no pairs, and no link is lost however large a bucket
 is. Two texts that share many such words meet at the first of them, not once for each: a word
 makes no pair if one of the ``BEFORE`` words before it in either text's order is shared too, as the
-pair met there or earlier. A mask of each text's buckets sorts out most pairs that share none.
+pair met there or earlier. A mask of each text's large cells sorts out most pairs that share none.
 
 Two texts are at least as many edits apart as the longer has words beyond those that
 both hold, and counts of labelled words by hash bound that number from above: pairs
@@ -47,6 +50,7 @@ null class; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +73,10 @@ SLOTS = 64, 16_384
 RANKS = 1 << 20
 #: Words that a rare word carries of those before it in its text's order, to make a pair once; more make fewer pairs twice, none lost.
 BEFORE = 4
+#: Lengths in a class differ by less than this factor, a little over 1 / ``SIMILARITY``: two texts of fitting lengths are of one class or of neighbouring ones.
+LENGTHS = 1.2501
+#: Cells of up to so many texts are paired directly, larger ones by rare words; it changes the work, not the result.
+SMALL = 16
 #: Up to so many ids (16 bytes each) are broadcast to pick texts from a scan; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 _RNG = np.random.Generator(np.random.Philox(key=[7, 5]))
@@ -282,14 +290,8 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _words_before(found: np.ndarray, back: int) -> pa.Array:
-    """For each word the one so many before it; null for the first ones."""
-    moved = np.concatenate((np.zeros(min(back, len(found)), np.int64), found[:-back]))
-    return pa.array(moved, mask=np.arange(len(found)) < back)
-
-
-def rare_words(docs: DataFrame) -> DataFrame:
-    """(word, place, node, before1, ...): the ``prefix`` of each of (doc_id, text), words ranked by their counts in these texts, with the words just before.
+def rarest(docs: DataFrame) -> DataFrame:
+    """node, words, places: the ``prefix`` of each of (doc_id, text), words ranked by their counts in these texts, one row for a text with words.
 
     Words that surely stand in no other of these texts are left out; places count them.
     """
@@ -312,29 +314,104 @@ def rare_words(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("near_dup")
         for batch in batches:
+            nodes, found, places = [], [], []
             for node, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 hashes = words.hashes((text.as_py() or "").lower().split())
                 if len(hashes):
-                    found = prefix(labelled_words(hashes), frequency)
-                    place = np.flatnonzero(frequency[found & np.uint64(RANKS - 1)] > 1)
-                    found = found[place].view(np.int64)
-                    made = [pa.array(found), pa.array(place), pa.array(np.full(len(found), node, np.int64)), *(_words_before(found, k) for k in range(1, BEFORE + 1))]
-                    yield pa.RecordBatch.from_arrays(made, ["word", "place", "node", *before])
+                    rare = prefix(labelled_words(hashes), frequency)
+                    place = np.flatnonzero(frequency[rare & np.uint64(RANKS - 1)] > 1)
+                    nodes.append(node)
+                    found.append(rare[place].view(np.int64))
+                    places.append(place)
+            made = [pa.array(nodes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (found, places))]
+            yield pa.RecordBatch.from_arrays(made, ["node", "words", "places"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "node long, words array<long>, places array<long>")
+
 
+def word_rows(texts: DataFrame) -> DataFrame:
+    """word, place, the other columns of ``texts`` (words, places, node, ...), before1, ...: a row for each word, with the words just before."""
+    others = [c for c in texts.columns if c not in ("words", "places")]
     before = [f"before{k}" for k in range(1, BEFORE + 1)]
-    return docs.select("doc_id", "text").mapInArrow(run, "word long, place long, node long, " + ", ".join(f"{c} long" for c in before))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("near_dup")
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                lists = part.column("words")
+                word = lists.flatten()
+                text = np.repeat(np.arange(len(part)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                made = [word, part.column("places").flatten(), *(part.column(c).take(pa.array(text)) for c in others)]
+                for back in range(1, BEFORE + 1):
+                    first = np.ones(len(text), bool)
+                    first[back:] = text[back:] != text[:-back]
+                    moved = np.zeros(len(text), np.int64)
+                    moved[back:] = word.to_numpy()[:-back]
+                    made.append(pa.array(moved, mask=first))
+                yield pa.RecordBatch.from_arrays(made, ["word", "place", *others, *before])
+
+    kinds = dict(texts.dtypes)
+    return texts.mapInArrow(run, ", ".join(["word long, place long", *(f"{c} {kinds[c]}" for c in others), *(f"{c} long" for c in before)]))
+
+
+def rare_words(docs: DataFrame) -> DataFrame:
+    """(word, place, node, before1, ...): a row for each word of ``rarest``."""
+    return word_rows(rarest(docs))
+
+
+def shared_words(texts: DataFrame) -> DataFrame:
+    """word: those of ``texts`` (words, label, apart) that can make a pair, as texts of different labels hold them and one is apart."""
+    held = texts.select(F.explode("words").alias("word"), "label", "apart").groupBy("word")
+    return held.agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("apart").alias("apart")).where("low != high AND apart").select("word")
+
+
+def cells(rest: DataFrame) -> DataFrame:
+    """key, node, n_words, label, apart, class, cells (cell, n), written: the texts of each bucket (key, node, n_words, label, leader_label) by length.
+
+    Cell c holds the classes c - 1 and c, and n texts in all. It is for pairs of class c and of both classes, as two
+    of class c - 1 meet in their own; cells and texts that can make no such pair are left out.
+    """
+    of_length = F.floor(F.log("n_words") / math.log(LENGTHS)).cast("int")
+    placed = rest.select("key", "node", "n_words", "label", (F.col("label") != F.col("leader_label")).alias("apart"), of_length.alias("class"))
+    sizes = placed.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("any"), F.min("label").alias("low"), F.max("label").alias("high"))
+    sizes = sizes.select("*", F.explode(F.array("class", F.col("class") + 1)).alias("cell")).groupBy("key", "cell")
+    sizes = sizes.agg(F.sum("n").alias("n"), F.max("any").alias("any"), F.min("low").alias("low"), F.max("high").alias("high"), F.max(F.col("class") == F.col("cell")).alias("own"))
+    sizes = sizes.where("own AND any AND n > 1 AND low != high").select("key", F.struct("cell", "n").alias("of"), F.explode(F.array(F.col("cell") - 1, "cell")).alias("class"))
+    sizes = materialise(sizes.groupBy("key", "class").agg(F.collect_list("of").alias("cells")), "near-sizes")
+    found = materialise(placed.join(_bounded(sizes), ["key", "class"]), "near-cells")
+    free(sizes)
+    return found
+
+
+def meet_directly(found: DataFrame) -> DataFrame:
+    """(a, b) of the texts of small ``cells`` that are of lengths that fit and of different labels, one of them apart; not distinct."""
+    small = found.select("*", F.explode(F.expr(f"filter(cells, of -> of.n <= {SMALL})")).alias("of")).select("*", "of.cell")
+    other = small.select("key", "cell", *[F.col(c).alias(f"other_{c}") for c in ("node", "n_words", "label", "apart", "class")])
+    fits = (F.col("label") != F.col("other_label")) & (~F.col("other_apart") | (F.col("node") < F.col("other_node"))) & _lengths_fit("n_words", "other_n_words")
+    once = F.col("cell") == F.greatest("class", "other_class")  # texts of one class share two cells
+    return small.where("apart").join(other, ["key", "cell"]).where(fits & once).select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
+
+
+def held_by(found: DataFrame) -> DataFrame:
+    """node, n_words, label, apart, bits0 to bits3: the texts of large ``cells``; texts without a common bit share no cell."""
+    large = f"filter(cells, of -> of.n > {SMALL})"
+    bit = "shiftleft(1L, cast(pmod(xxhash64(key, of.cell), 64) AS int))"
+    bits = [F.expr(f"bit_or(aggregate({large}, 0L, (m, of) -> IF(pmod(shiftright(xxhash64(key, of.cell), 6), 4) = {i}, m | {bit}, m)))").alias(f"bits{i}") for i in range(4)]
+    held = found.where(f"size({large}) > 0").groupBy("node")
+    return held.agg(F.max("n_words").alias("n_words"), F.max("label").alias("label"), F.max("apart").alias("apart"), *bits)
 
 
 def meet(rare: DataFrame) -> DataFrame:
-    """(a, b), most of them once, of the texts that share a rare word and a bucket, are of lengths that fit and of different labels, one of them apart.
+    """(a, b), most of them once, of the texts that share a rare word and a cell, are of lengths that fit and of different labels, one of them apart.
 
     ``rare`` has the columns of ``rare_words``, n_words, label, apart and the masks bits0 to bits3.
     """
     other = rare.select("word", *[F.col(c).alias(f"other_{c}") for c in rare.columns if c != "word"])
     # The first word that both share: what comes before it in either text isn't shared.
     first_shared = F.least(F.col("n_words") - F.col("place"), F.col("other_n_words") - F.col("other_place")) >= _least_shared(F.greatest("n_words", "other_n_words"))
-    one_bucket = F.expr(" OR ".join(f"(bits{i} & other_bits{i}) != 0" for i in range(4)))
-    fits = (F.col("label") != F.col("other_label")) & (~F.col("other_apart") | (F.col("node") < F.col("other_node"))) & _lengths_fit("n_words", "other_n_words") & first_shared & one_bucket
+    one_cell = F.expr(" OR ".join(f"(bits{i} & other_bits{i}) != 0" for i in range(4)))
+    fits = (F.col("label") != F.col("other_label")) & (~F.col("other_apart") | (F.col("node") < F.col("other_node"))) & _lengths_fit("n_words", "other_n_words") & first_shared & one_cell
     # The earlier word passed all these tests as well: they are the same for all words of a pair, or easier for earlier ones.
     before = [c for c in rare.columns if c.startswith("before")]
     for mine, its in itertools.product(before, before):
@@ -476,16 +553,20 @@ def classes(docs: DataFrame) -> DataFrame:
     apart = stars_of.where("label != leader_label")
     if not apart.isEmpty():
         keys = materialise(apart.select("key").distinct(), "near-keys")
-        open_ = stars_of.join(_bounded(keys), "key", "left_semi")
-        # A bit for each of a text's buckets: texts without a common bit share none.
-        bits = [F.bit_or(F.expr(f"CASE WHEN pmod(shiftright(key, 6), 4) = {i} THEN shiftleft(1L, cast(pmod(key, 64) AS int)) ELSE 0L END")).alias(f"bits{i}") for i in range(4)]
-        held = open_.groupBy("node").agg(F.max("n_words").alias("n_words"), F.max("label").alias("label"), F.max(F.col("label") != F.col("leader_label")).alias("apart"), *bits)
-        held = materialise(held, "near-open")
-        ids = materialise(held.select(F.col("node").alias("doc_id")), "near-ids")
-        rare = materialise(rare_words(known.join(_bounded(ids), "doc_id", "left_semi")).join(held, "node"), "near-rare")
-        pairs = meet(rare).distinct()
-        pairs = possible(pairs.join(outcome.select("a", "b"), ["a", "b"], "left_anti"), signed)
-        free(keys, held, ids, rare)
+        open_ = cells(stars_of.join(_bounded(keys), "key", "left_semi"))
+        found = meet_directly(open_)
+        held = materialise(held_by(open_), "near-open")
+        ids = texts = shared = rare = None
+        if not held.isEmpty():
+            ids = materialise(held.select(F.col("node").alias("doc_id")), "near-ids")
+            texts = materialise(rarest(known.join(_bounded(ids), "doc_id", "left_semi")).join(held, "node"), "near-texts")
+            shared = materialise(shared_words(texts), "near-shared")
+            rare = materialise(word_rows(texts).join(_bounded(shared), "word", "left_semi"), "near-rare")
+            free(texts, shared)
+            clean_shuffles(docs.sparkSession)
+            found = found.unionByName(meet(rare))
+        pairs = possible(found.distinct().join(outcome.select("a", "b"), ["a", "b"], "left_anti"), signed)
+        free(keys, open_, held, ids, rare)
         clean_shuffles(docs.sparkSession)
         free(connected(pairs), pairs)
     free(first, second, stars_of, signed)

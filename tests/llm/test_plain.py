@@ -415,6 +415,38 @@ def test_near_copies_meet_once(spark):
     assert all((a, b) in {*got} for a, b in itertools.combinations(range(80), 2) if near_dup.near(texts[a], texts[b]))
 
 
+def test_cells_lose_no_pair(spark):
+    """All pairs of a bucket that can be linked are paired directly or share a large cell, and no others directly."""
+    rng = random.Random(3)
+    words = [rng.choice([1, 2, 4, 5, 64, 80, 81, 100, 101, rng.randint(1, 400)]) for _ in range(260)]
+    label = [rng.randrange(200) for _ in words]
+    buckets = [rng.sample(range(260), n) for n in (3, 12, 40, 150, 150)]
+    rest = [(key, node, words[node], label[node], label[nodes[0]]) for key, nodes in enumerate(buckets) for node in nodes]
+    found = near_dup.cells(spark.createDataFrame(rest, "key long, node long, n_words long, label long, leader_label long"))
+    direct = {tuple(r) for r in near_dup.meet_directly(found).collect()}
+    held = {r.node: r for r in near_dup.held_by(found).collect()}
+    fit = lambda x, y: min(x, y) >= max(x, y) - math.floor(max(x, y) * 0.2 + 1e-9)
+    every = {(a, b) for nodes in buckets for a, b in itertools.combinations(sorted(nodes), 2) if label[a] != label[b] and fit(words[a], words[b])}
+    large = {(a, b) for a, b in itertools.combinations(sorted(held), 2) if (held[a].apart or held[b].apart) and any(held[a][f"bits{i}"] & held[b][f"bits{i}"] for i in range(4))}
+    assert direct <= every and every <= direct | large and direct and every - direct
+    assert all(held[x].label == label[x] and held[x].n_words == words[x] for x in held)
+
+
+def test_buckets_of_chance_are_split_by_length(spark, monkeypatch):
+    """Texts that share a bucket but have lengths that allow no link aren't dealt by their words."""
+    texts = [" ".join(f"p{i}" for i in range(n)) for n in (64, 82, 104, 132, 168)]
+    rows = {}
+
+    def counted(df, name):
+        made = common.materialise(df, name)
+        rows[name] = rows.get(name, 0) + made.count()
+        return made
+
+    monkeypatch.setattr(near_dup, "materialise", counted)
+    got = {r.doc_id: r.class_id for r in near_dup.classes(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == {i: i for i in range(5)} and rows["near-keys"] > 0 and not rows.get("near-rare")
+
+
 def test_ann_recall_over_several_blocks(spark, monkeypatch):
     """Recall where candidates fill many blocks and queries several parts; at two sizes."""
     monkeypatch.setattr(ann, "BLOCK", 256)
